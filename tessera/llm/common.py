@@ -41,7 +41,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z only. Pure ASCII text takes the cheaper lower(), which then does just that."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def map_docs(

@@ -85,11 +85,14 @@ def _probed(docs: DataFrame, grams: DataFrame, lens: list[int], total: int) -> D
     )
     packed = filled.agg(F.array_sort(F.collect_list(F.struct("b", "grams"))).alias("t")).select(
         F.transform("t", lambda x: x["grams"]).alias("lists"), F.transform("t", lambda x: x["b"]).alias("slots"),
-    ).select(F.struct("lists", _dense("slots", k).alias("slot")).alias("set"))
-    # Both columns are used once, so they collapse into the projection and no row carries a copy of the set.
-    held = docs.withColumns({"__w": words(F.col("text")), "__set": packed.scalar()})
-    judged = let(F.struct(F.col("__w").alias("w"), F.col("__set").alias("set")), lambda x: _judge(F.size(x["w"]), _hits(x["set"], x["w"], lens, k)))
-    return held.withColumn("__judged", judged).drop("__w", "__set")
+    ).select("lists", _dense("slots", k).alias("slot"))
+    seen = grams.select(F.explode("gram").alias("x")).select(F.pmod(F.xxhash64("x"), F.lit(k)).cast("int").alias("b")).distinct()
+    seen = seen.agg(F.array_sort(F.collect_list("b")).alias("slots")).select(F.transform(_dense("slots", k), lambda x: x >= 0).alias("known"))
+    # These columns are used once each, so they collapse into the projection and no row carries a copy of the set.
+    held = docs.withColumns({"__w": words(F.col("text")), "__lists": packed.select("lists").scalar(), "__slot": packed.select("slot").scalar(), "__known": seen.scalar()})
+    parts = F.struct(*[F.col(f"__{c}").alias(c) for c in ("w", "lists", "slot", "known")])
+    judged = let(parts, lambda x: _judge(F.size(x["w"]), _hits(x, x["w"], lens, k)))
+    return held.withColumn("__judged", judged).drop("__w", "__lists", "__slot", "__known")
 
 
 def _hits(grams: Column, w: Column, lens: list[int], k: int) -> Column:
@@ -97,8 +100,14 @@ def _hits(grams: Column, w: Column, lens: list[int], k: int) -> Column:
     if not lens:
         return F.array().cast("array<struct<pos:int,len:int,items:array<bigint>>>")
 
-    def of(n: int) -> Column:
-        probed = F.transform(_starts(w, n), lambda i: F.struct(
+    def of(known: Column, n: int) -> Column:
+        def all_known(i: Column) -> Column:
+            ok = F.get(known, i - 1)
+            for j in range(1, n):
+                ok = ok & F.get(known, i + (j - 1))
+            return ok
+
+        probed = F.transform(F.filter(_starts(w, n), all_known), lambda i: F.struct(
             i.alias("pos"), F.get(grams["slot"], F.pmod(F.xxhash64(F.slice(w, i, F.lit(n))), F.lit(k)).cast("int")).alias("s"),
         ))
         verified = F.transform(F.filter(probed, lambda x: x["s"] >= 0), lambda x: F.struct(
@@ -110,7 +119,9 @@ def _hits(grams: Column, w: Column, lens: list[int], k: int) -> Column:
             x["pos"].alias("pos"), x["len"].alias("len"), F.flatten(F.transform(x["same"], lambda g: g["items"])).alias("items"),
         ))
 
-    return F.concat(*[of(n) for n in lens])
+    # A window can only occur where each of its words is some benchmark word; that is tested first, once per word.
+    flags = F.transform(w, lambda x: F.get(grams["known"], F.pmod(F.xxhash64(x), F.lit(k)).cast("int")))
+    return let(flags, lambda known: F.concat(*[of(known, n) for n in lens]))
 
 
 def _dense(slots: str, k: int) -> Column:
