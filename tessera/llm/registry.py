@@ -1,10 +1,12 @@
 """Queries of the training-data operators and their oracles."""
 
-from . import decontaminate
+from . import decontaminate, mixing
 
 QUERIES = {
+    "op8_mix": mixing.op8_mix,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
+    "op8_mix": mixing.OP8_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
