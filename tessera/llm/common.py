@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -45,6 +46,24 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+class Taken:
+    """Intervals that are taken already, with logarithmic overlap tests."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        merged: list[list[int]] = []
+        for s, e in sorted(spans):
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(e, merged[-1][1])
+            else:
+                merged.append([s, e])
+        self.starts = [s for s, _ in merged]
+        self.ends = [e for _, e in merged]
+
+    def overlaps(self, start: int, end: int) -> bool:
+        at = bisect.bisect_right(self.ends, start)
+        return at < len(self.starts) and self.starts[at] < end
+
+
 def map_docs(
     docs: DataFrame,
     per_batch: Callable[[list, list], dict],
