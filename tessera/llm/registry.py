@@ -1,8 +1,9 @@
 """Queries of the training-data operators and their oracles."""
 
-from . import decontaminate, mixing, secret_scan
+from . import decontaminate, mixing, pii, secret_scan
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op8_mix": mixing.op8_mix,
     "op10_decontaminate": decontaminate.op10_decontaminate,
