@@ -1,11 +1,12 @@
 """Queries of the training-data operators and their oracles."""
 
-from . import decontaminate, mixing, pii, secret_scan, simhash
+from . import decontaminate, mixing, pii, secret_scan, simhash, token_counts
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_simhash": simhash.op5_simhash,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op8_mix": mixing.op8_mix,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
