@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their oracles."""
 
-from . import decontaminate, mixing, pii, secret_scan, simhash, token_counts
+from . import decontaminate, mixing, pii, secret_scan, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_mix": mixing.op8_mix,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
