@@ -1,9 +1,10 @@
 """Queries of the training-data operators and their oracles."""
 
-from . import decontaminate, mixing, pii, secret_scan, simhash, token_counts, toxicity
+from . import ann, decontaminate, mixing, pii, secret_scan, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_ann": ann.op2_ann,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_simhash": simhash.op5_simhash,
     "op6_token_counts": token_counts.op6_token_counts,
