@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +19,25 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once an application, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    target = Path(tempfile.mkdtemp(prefix="ship")) / "tessera_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / "tessera").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
