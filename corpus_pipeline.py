@@ -1,4 +1,65 @@
-"""Placeholder, filled with the stages."""
+"""Corpus pipeline: five stages over ``documents``, each calling one training-data operator.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of ``docs``. ``run`` writes each stage's rows as Parquet in
+the shared folder and rereads them, so a lost executor never repeats more than
+one stage.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import decontaminate, mixing, pii, simhash, toxicity
+from tessera.llm.common import ship, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine rejects go."""
+    machine = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, machine)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id stays."""
+    return simhash.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat benchmark passages go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the text is replaced by its kind; all documents stay."""
+    return pii.redact_documents(docs, pii.train(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: for each document its size, its source's target and the shards that take it."""
+    mixed = mixing.mix(docs)
+    return mixed.selectExpr("doc_id", "source", "size", "source_size", "target", "size(shards) * size AS taken", "array_join(shards, ',') AS shards")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("pii", redact_personal_data),
+    ("mixing", mix_sources),
+]
+
+#: The trained stages and XXH64 fingerprints are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
