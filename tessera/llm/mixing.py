@@ -6,9 +6,10 @@ source's size and the excess is reshared (water filling, closed form over the
 sources ordered by size to weight).
 
 The documents of a source fall into blocks by a hash of their id, about
-``BLOCK_DOCS`` each. A source's exact quota is a number of block draws: every
+``BLOCK_DOCS`` each, but into ``MIN_BLOCKS`` at least if it has as many documents. A source's exact quota is a number of block draws: every
 block ``floor(target / size)`` times, then blocks in permuted order while they
-fit, then single documents of one boundary block while they fit. The draws are
+fit, then single documents of the boundary blocks (about ``BLOCK_DOCS`` documents)
+while they fit and one more if that comes nearer to the target. The draws are
 dealt to ``shards`` output shards by a tree: at each node the left child's
 number of draws of each source is a multivariate hypergeometric sample, taken
 source by source from its conditional distribution (inverse cumulative sum in
@@ -24,7 +25,7 @@ is spread over all its blocks. Uniform numbers are hashes, so reruns agree.
 
 Defined results: null text has size 0; a source of size 0 has target 0; the
 null source is a source of its own; rows that repeat a doc_id within a source
-are drawn together in the boundary block; an empty table gives no rows.
+are drawn together in the boundary blocks; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from .common import let, table
 
 MAX_COPIES = 3
 BLOCK_DOCS = 512
+MIN_BLOCKS = 64
 SHARDS = 16
 WEIGHTS = (1, 2, 3)
 SEED = "mix"
@@ -142,21 +144,24 @@ def mix(docs: DataFrame, shards: int = SHARDS, block_docs: int = BLOCK_DOCS) ->
     base = sized(docs)
     aims = targets(base).withColumns({
         "rank": F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())),
-        "n_blocks": F.ceil(F.col("n_docs") / block_docs).cast("long"),
+        "n_blocks": F.greatest(F.ceil(F.col("n_docs") / block_docs), F.least("n_docs", F.lit(MIN_BLOCKS))).cast("long"),
         "whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"),
-    }).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    }).withColumns({
+        "rest": F.col("target") - F.col("whole") * F.col("source_size"),
+        "span": F.ceil(F.col("n_blocks") * block_docs / F.col("n_docs")).cast("long"),
+    })
     aims = aims.withColumnRenamed("source", "s_source")
     placed = base.join(aims, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
     placed = placed.withColumn("block", F.pmod(_hash32(F.lit("block"), F.col("doc_id")), F.col("n_blocks")))
 
-    # Permuted blocks of each source, with the words that stand before them.
-    block = placed.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("whole").alias("whole"))
+    # Permuted blocks of each source, with the words up to their ends.
+    block = placed.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("whole").alias("whole"), F.first("span").alias("span"))
     order = W.partitionBy("rank").orderBy(_hash32(F.lit("order"), F.col("rank"), F.col("block")), "block")
-    block = block.withColumn("before", F.sum("words").over(order) - F.col("words"))
-    block = block.withColumns({
-        "fits": F.col("before") + F.col("words") <= F.col("rest"),
-        "edge": (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")),
-    })
+    block = block.withColumns({"upto": F.sum("words").over(order), "at": F.row_number().over(order)})
+    source = W.partitionBy("rank")
+    fits = F.col("upto") <= F.col("rest")
+    block = block.withColumns({"fits": fits, "n_fit": F.sum(fits.cast("int")).over(source), "room": F.col("rest") - F.coalesce(F.max(F.when(fits, F.col("upto"))).over(source), F.lit(0))})
+    block = block.withColumn("edge", ~F.col("fits") & (F.col("at") <= F.col("n_fit") + F.col("span")))
     block = block.withColumn("draws", F.col("whole") + F.when(F.col("fits"), 1).otherwise(0) + F.when(F.col("edge"), 1).otherwise(0))
 
     # Draws are numbered in another permutation; the tree cuts that order into shards.
@@ -170,16 +175,24 @@ def mix(docs: DataFrame, shards: int = SHARDS, block_docs: int = BLOCK_DOCS) ->
         F.array_sort(F.collect_list(F.when(~partial, F.col("shard")))).alias("shards"),
         F.max(F.when(partial, F.col("shard"))).alias("edge_shard"),
     )
-    held = block.select("rank", "block", (F.col("rest") - F.col("before")).alias("room"), "edge").join(held, ["rank", "block"], "left")
+    held = block.select("rank", "block", "room", "edge").join(held, ["rank", "block"], "left")
 
-    # In the boundary block documents are taken in hash order while they fit.
+    # In the boundary blocks documents are taken in hash order while they fit; the last may be the nearest that does not.
     dealt = placed.join(held, ["rank", "block"])
     unit = dealt.where("edge").groupBy("rank", "doc_id").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
     unit = unit.groupBy("rank").agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct(_hash32(F.lit("doc"), F.col("doc_id")).alias("h"), "doc_id", "size"))).alias("units"))
-    none = F.array().cast("array<struct<id:bigint>>")
-    kept = F.aggregate("units", F.struct(F.col("room").cast("double").alias("room"), none.alias("ids")), lambda s, x: F.when(
-        x["size"] <= s["room"], F.struct((s["room"] - x["size"]).alias("room"), F.concat(s["ids"], F.array(F.struct(x["doc_id"].alias("id")))).alias("ids")),
-    ).otherwise(s))["ids"]
+    none = F.array().cast("array<struct<h:bigint,doc_id:bigint,size:bigint>>")
+    start = F.struct(F.col("room").cast("double").alias("room"), none.alias("took"), none.alias("left"))
+    fitted = F.aggregate("units", start, lambda s, x: F.when(
+        x["size"] <= s["room"], F.struct((s["room"] - x["size"]).alias("room"), F.concat(s["took"], F.array(x)).alias("took"), s["left"].alias("left")),
+    ).otherwise(F.struct(s["room"].alias("room"), s["took"].alias("took"), F.concat(s["left"], F.array(x)).alias("left"))))
+
+    def with_nearest(s: Column) -> Column:
+        """One more document, if the source comes nearer to its target with it than without."""
+        near = F.array_min(F.transform(s["left"], lambda x: F.struct(F.abs(x["size"] - s["room"]).alias("miss"), x.alias("x"))))
+        return F.when(near["miss"] < s["room"], F.concat(s["took"], F.array(near["x"]))).otherwise(s["took"])
+
+    kept = F.transform(let(fitted, with_nearest), lambda x: F.struct(x["doc_id"].alias("id")))
     kept = unit.select(F.col("rank").alias("k_rank"), F.explode(kept).alias("k")).select("k_rank", F.col("k.id").alias("k_id"), F.lit(True).alias("k_in"))
     out = dealt.join(kept, F.col("edge") & (F.col("rank") == F.col("k_rank")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left")
     drawn = F.coalesce("shards", F.array().cast("array<int>"))
@@ -211,18 +224,21 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (
              / sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
 o AS (SELECT *, (SELECT min_by(level, 3 * source_size / weight) FROM l WHERE 3 * source_size > weight * level) AS open_level FROM l),
 t AS (SELECT *, CASE WHEN open_level IS NULL OR 3 * source_size <= weight * level THEN CAST(3 * source_size AS DOUBLE) ELSE weight * open_level END AS target,
-             CAST(ceil(n_docs / 512) AS BIGINT) AS n_blocks FROM o),
+             CAST(greatest(ceil(n_docs / 512), least(n_docs, 64)) AS BIGINT) AS n_blocks FROM o),
 a AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
-p AS (SELECT doc_id, size, rank, source_size, target, whole, target - whole * source_size AS rest,
+p AS (SELECT doc_id, size, rank, source_size, target, whole, target - whole * source_size AS rest, CAST(ceil(n_blocks * 512 / n_docs) AS BIGINT) AS span,
              {_sql_hash("'block'", "doc_id")} % n_blocks AS block FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
-b AS (SELECT rank, block, sum(size) AS words, first(rest) AS rest FROM p GROUP BY ALL),
-c AS (SELECT *, sum(words) OVER (PARTITION BY rank ORDER BY {_sql_hash("'order'", "rank", "block")}, block) - words AS before FROM b),
-e AS (SELECT rank, block, before + words <= rest AS fits, before <= rest AND before + words > rest AS edge, rest - before AS room FROM c),
+b AS (SELECT rank, block, sum(size) AS words, first(rest) AS rest, first(span) AS span FROM p GROUP BY ALL),
+c AS (SELECT *, sum(words) OVER w AS upto, row_number() OVER w AS nr FROM b WINDOW w AS (PARTITION BY rank ORDER BY {_sql_hash("'order'", "rank", "block")}, block)),
+f AS (SELECT *, upto <= rest AS fits, sum(CAST(upto <= rest AS INT)) OVER (PARTITION BY rank) AS n_fit, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY rank), 0) AS room FROM c),
+e AS (SELECT rank, block, fits, NOT fits AND nr <= n_fit + span AS edge, room FROM f),
 u AS (SELECT p.rank, p.doc_id, p.size, e.room, row_number() OVER (PARTITION BY p.rank ORDER BY {_sql_hash("'doc'", "doc_id")}, doc_id) AS n
       FROM p JOIN e ON p.rank = e.rank AND p.block = e.block WHERE e.edge),
 g AS (SELECT rank, doc_id, n, size <= room AS took, CASE WHEN size <= room THEN room - size ELSE room END AS room FROM u WHERE n = 1
-      UNION ALL SELECT u.rank, u.doc_id, u.n, u.size <= g.room, CASE WHEN u.size <= g.room THEN g.room - u.size ELSE g.room END FROM g JOIN u ON u.rank = g.rank AND u.n = g.n + 1)
+      UNION ALL SELECT u.rank, u.doc_id, u.n, u.size <= g.room, CASE WHEN u.size <= g.room THEN g.room - u.size ELSE g.room END FROM g JOIN u ON u.rank = g.rank AND u.n = g.n + 1),
+r AS (SELECT rank, arg_max(room, n) AS room FROM g GROUP BY rank),
+m AS (SELECT rank, arg_min(n, (abs(size - room), n)) AS n FROM (SELECT u.rank, u.n, u.size, r.room FROM u JOIN g USING (rank, n) JOIN r USING (rank) WHERE NOT took AND abs(u.size - r.room) < r.room) GROUP BY rank)
 SELECT p.doc_id, p.size, p.source_size, p.target,
-       CAST((whole + CASE WHEN e.fits THEN 1 WHEN e.edge AND coalesce(g.took, false) THEN 1 ELSE 0 END) * p.size AS BIGINT) AS taken
-FROM p JOIN e ON p.rank = e.rank AND p.block = e.block LEFT JOIN g ON g.rank = p.rank AND g.doc_id = p.doc_id
+       CAST((whole + CASE WHEN e.fits THEN 1 WHEN e.edge AND (coalesce(g.took, false) OR coalesce(g.n = m.n, false)) THEN 1 ELSE 0 END) * p.size AS BIGINT) AS taken
+FROM p JOIN e ON p.rank = e.rank AND p.block = e.block LEFT JOIN g ON g.rank = p.rank AND g.doc_id = p.doc_id LEFT JOIN m ON m.rank = p.rank
 """
