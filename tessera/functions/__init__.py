@@ -1 +1 @@
-
+"""Column functions: map units, boxes, tags, geometry."""

@@ -1 +1 @@
-
+"""Operators over map graphs as DataFrame transformations."""

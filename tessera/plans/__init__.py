@@ -1 +1 @@
-
+"""Query registry and the whole tiling run."""

@@ -1,6 +1,6 @@
 """Registered queries and their oracles."""
 
-from __future__ import annotations
+from .oracles import ORACLES
+from .queries import QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
