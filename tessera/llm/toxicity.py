@@ -74,23 +74,21 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _selected(features: list[list[int]], labels: list[int]) -> list[int]:
+def _selected(features: list[np.ndarray], labels: list[int]) -> np.ndarray:
     rate = min(max(sum(labels) / len(labels), 1e-9), 1 - 1e-9)
-    seen: dict[int, list[int]] = {}
-    for f, y in zip(features, labels):
-        for x in f:
-            n = seen.setdefault(x, [0, 0])
-            n[0] += 1
-            n[1] += y
-    return sorted(x for x, (n, k) in seen.items() if n >= MIN_DOCS and k - n * rate >= MIN_Z * (n * rate * (1 - rate)) ** 0.5)
+    flat = np.concatenate(features)
+    names, at = np.unique(flat, return_inverse=True)
+    n = np.bincount(at, minlength=len(names))
+    k = np.bincount(at, np.repeat(np.array(labels, dtype=float), [len(f) for f in features]), len(names))
+    return names[(n >= MIN_DOCS) & (k - n * rate >= MIN_Z * np.sqrt(n * rate * (1 - rate)))]
 
 
-def fit(features: list[list[int]], labels: list[int], epochs: int = EPOCHS, rank: int = RANK, seed: int = 7) -> Machine:
+def fit(features: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, rank: int = RANK, seed: int = 7) -> Machine:
     if not labels:
         return Machine(-np.inf, {}, np.zeros(0), np.zeros((0, rank)))
     names = _selected(features, labels)
-    at = {x: i for i, x in enumerate(names)}
-    rows = [np.array([at[x] for x in f if x in at], dtype=np.int64) for f in features]
+    at = {int(x): i for i, x in enumerate(names)}
+    rows = [np.searchsorted(names, f[np.isin(f, names)]) for f in features]
     y = np.array(labels, dtype=float)
     rng = np.random.default_rng(seed)
     d = len(names)
@@ -130,12 +128,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(label)))
 
     def per_batch(ids: list, batch: list) -> dict:
-        return {"doc_id": ids, "terms": [sorted({hashed(t) for t in terms(text)}) for text in batch]}
+        return {"doc_id": ids, "terms": [np.array(sorted({hashed(t) for t in terms(text)}), dtype="<i4").tobytes() for text in batch]}
 
-    # One row an id, so that repeated rows cannot pass the bound.
-    rows = map_docs(texts, per_batch, "doc_id long, terms array<int>").groupBy("doc_id").agg(F.min("terms").alias("terms")).collect()
+    # Packed, as the driver holds them all; one row an id, so that repeated rows cannot pass the bound.
+    rows = map_docs(texts, per_batch, "doc_id long, terms binary").groupBy("doc_id").agg(F.min("terms").alias("terms")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["terms"] for r in rows], [label[r["doc_id"]] for r in rows])
+    return fit([np.frombuffer(r["terms"], dtype="<i4") for r in rows], [label[r["doc_id"]] for r in rows])
 
 
 def score_texts(texts: list[str], machine: Machine, cache: dict[str, int]) -> list[float]:
