@@ -4,7 +4,7 @@ A byte goes if it is covered by a ``LENGTH``-byte string that also starts
 earlier (in a document of smaller id, or earlier in the same one).
 
 Sharding by content. In every window of ``LENGTH`` bytes the ``GRAM``-byte gram of
-least hash (its upper bits; leftmost on ties) is an anchor; equal windows have equal anchors at
+least hash (leftmost on ties) is an anchor; equal windows have equal anchors at
 equal offsets. A window therefore lies inside the context of its anchor
 (``REACH`` bytes before it to ``LENGTH`` bytes from it), and all occurrences of a
 window meet in the shard of the anchor's hash:
@@ -18,7 +18,8 @@ window meet in the shard of the anchor's hash:
    hash) the earliest stays and the others are copies. Where different
    contexts share an anchor, their bytes are asked for.
 3. A join by document brings the bytes; the contexts go to the shards again.
-   There the shard's text, the distinct contexts side by side, gets its suffix
+   Sides on which no other context of the anchor agrees are cut off. The
+   shard's text, the distinct contexts side by side, gets its suffix
    array by induced sorting: suffixes are classified as S or L, the leftmost-S
    (LMS) substrings are sorted by induction and named, names are sorted
    recursively, and the array is induced from them in two linear passes. Permuted
@@ -40,6 +41,7 @@ nothing; unpaired surrogates cannot occur in a Spark string.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +56,9 @@ LENGTH = 100
 GRAM = 28
 #: An anchor starts at most this far into its window.
 REACH = LENGTH - GRAM
-CHUNK_BYTES = 4_000_000
+#: A string reaches so far beyond the gram on one side at least.
+HALF = (LENGTH - GRAM) // 2
+CHUNK_BYTES = 2_000_000
 #: Bytes of distinct contexts in one suffix array, unless one anchor has more.
 SHARD_BYTES = 4_000_000
 NO_ID = -(1 << 63)
@@ -180,6 +184,45 @@ def _induce_by_item(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np
     return np.array(sa, dtype=np.int32)
 
 
+def _name_substrings(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """Ranks of the LMS substrings (each up to the next LMS position, inclusive), equal ones sharing theirs.
+
+    A radix sort by words of several symbols, leading word first; only ties go on
+    to the next word. A symbol is a character with its class, L before S, which
+    makes the substrings prefix-free; 0 stands behind the text's end.
+    """
+    n = len(t)
+    bits = (2 * k + 1).bit_length()
+    per_word = 63 // bits
+    symbol = np.zeros(n + per_word, dtype=np.int64)
+    symbol[:n] = 2 * t.astype(np.int64) + s + 1
+    stop = np.append(lms[1:], n) + 1  # exclusive; the last one takes in the end
+    rank = np.zeros(len(lms), dtype=np.int64)
+    live = np.arange(len(lms))
+    at = lms.astype(np.int64)
+    while len(live):
+        word = np.zeros(len(live), dtype=np.int64)
+        p, e = at[live], stop[live]
+        for j in range(per_word):
+            word = word << bits
+            inside = p + j < e
+            word[inside] |= symbol[np.minimum(p[inside] + j, n)]
+        order = np.lexsort((word, rank[live])) if rank[live[0]] or rank[live[-1]] or len(live) < len(lms) else np.argsort(word, kind="stable")
+        r, w = rank[live][order], word[order]
+        fresh = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])
+        # the rank of a group is the place of its first member, so that refining moves nobody else
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], r[1:] != r[:-1]]), np.arange(len(r)), 0))
+        place = np.maximum.accumulate(np.where(fresh, np.arange(len(r)), 0))
+        rank[live[order]] = r + place - first
+        size = np.diff(np.append(np.flatnonzero(fresh), len(r)))
+        tied = np.repeat(size > 1, size)
+        live = np.sort(live[order][tied])
+        at[live] += per_word
+        live = live[at[live] < stop[live]]
+    names, dense = np.unique(rank, return_inverse=True)
+    return dense.astype(np.int32), len(names)
+
+
 def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     """Suffix array of an integer text; a suffix that is a prefix of another comes first."""
     n = len(t)
@@ -195,28 +238,12 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     lms = np.flatnonzero(is_lms).astype(np.int32)
     if len(lms) == 0:
         return induce(t, s, lms, k)
-    sa = induce(t, s, lms, k)  # sorts the LMS substrings
-    ordered = sa[is_lms[sa]]
-    # Names: a substring reaches from its LMS position to the next one, inclusive.
-    stop = np.append(lms[1:], n - 1)
-    where = np.zeros(n, dtype=np.int32)
-    where[lms] = np.arange(len(lms))
-    size = (stop - lms + 1)[where[ordered]]
-    differ = np.ones(len(ordered), dtype=bool)
-    last = where[ordered] == len(lms) - 1  # it ends with the text and equals no other
-    same = np.flatnonzero((size[1:] == size[:-1]) & ~last[1:] & ~last[:-1]) + 1
-    step = 0
-    while len(same):
-        same = same[t[ordered[same] + step] == t[ordered[same - 1] + step]]
-        step += 1
-        done = size[same] == step
-        differ[same[done]] = False
-        same = same[~done]
-    name = np.cumsum(differ) - 1
-    if name[-1] + 1 < len(lms):
-        reduced = np.empty(len(lms), dtype=np.int32)
-        reduced[where[ordered]] = name
-        ordered = lms[suffix_array(reduced, int(name[-1]) + 1)]
+    name, n_names = _name_substrings(t, s, lms, k)
+    if n_names < len(lms):
+        ordered = lms[suffix_array(name, n_names)]
+    else:
+        ordered = np.empty_like(lms)
+        ordered[name] = lms
     return induce(t, s, ordered, k)
 
 
@@ -251,27 +278,30 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
 # ---- anchors and contexts ----
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Mixed hash of the gram at each position, by doubling; only positions with a whole gram are valid."""
+    """32-bit hash of the gram at each position, by doubling; only positions with a whole gram are valid."""
     n = len(data)
-    h = (data.astype(np.uint64) + np.uint64(1)) * _MUL
-    out, done, width, mul = None, 0, 1, np.uint64(0xBF58476D1CE4E5B9)
+    h = (data.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    out, done, width = None, 0, 1
     left = gram
     while left:
         if left & 1:
             if out is None:
-                out, done = h.copy(), width
+                out = h.copy()
             else:
-                shifted = np.zeros_like(h)
-                shifted[: n - done] = h[done:]
-                out = (out ^ (out >> np.uint64(29))) * _MUL + shifted
-                done += width
+                out ^= out >> np.uint32(15)
+                out *= np.uint32(0x85EBCA77)
+                out[: max(n - done, 0)] += h[done:]
+            done += width
         left >>= 1
         if left:
-            shifted = np.zeros_like(h)
-            shifted[: max(n - width, 0)] = h[width:]
-            h = (h ^ (h >> np.uint64(31))) * mul + shifted
+            mixed = h ^ (h >> np.uint32(16))
+            mixed *= np.uint32(0xC2B2AE3D)
+            mixed[: max(n - width, 0)] += h[width:]
+            h = mixed
             width *= 2
-    return (out ^ (out >> np.uint64(32))) * _MUL
+    out ^= out >> np.uint32(16)
+    out *= np.uint32(0x27D4EB2F)
+    return out ^ (out >> np.uint32(13))
 
 
 def anchors(h: np.ndarray, span: int, valid: np.ndarray) -> np.ndarray:
@@ -279,8 +309,7 @@ def anchors(h: np.ndarray, span: int, valid: np.ndarray) -> np.ndarray:
     n = len(h)
     if n < span or not len(valid):
         return np.zeros(0, dtype=np.int64)
-    bits = np.uint64(max(22, n.bit_length()))
-    low = (h >> bits << bits) | np.arange(n, dtype=np.uint64)  # the place decides ties
+    low = (h.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)  # the place decides ties
     width = 1
     while width * 2 <= span:
         low = np.minimum(low[: len(low) - width], low[width:])
@@ -288,7 +317,7 @@ def anchors(h: np.ndarray, span: int, valid: np.ndarray) -> np.ndarray:
     if width < span:
         low = np.minimum(low[: n - span + 1], low[span - width : n - width + 1])
     marked = np.zeros(n, dtype=bool)
-    marked[(low[valid] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = True
+    marked[(low[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
     return np.flatnonzero(marked)
 
 
@@ -314,7 +343,8 @@ def document_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     context = np.array([digest(view[a:b]) for a, b in zip((at - left).tolist(), (at + right).tolist())], dtype=np.uint64)
     # a context of another shape is another context, even where its bytes are equal
     context ^= (left * 256 + right).astype(np.uint64) * _MUL
-    return doc, at - begin[doc], left, right, h[at], context
+    gram = np.array([digest(view[a : a + GRAM]) for a in at.tolist()], dtype=np.uint64)
+    return doc, at - begin[doc], left, right, gram, context
 
 
 ANCHOR = np.dtype([("h", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("place", "<u4"), ("left", "u1"), ("right", "u1")])
@@ -347,32 +377,39 @@ def _unsqueeze(blob: bytes) -> np.ndarray:
 
 
 def _earliest(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(anchors with the earliest occurrence of each context, the copies); by h, context; one row an occurrence."""
-    rec = rec[np.lexsort((rec["place"], rec["doc"], rec["context"], rec["h"]))]
+    """(anchors with the earliest occurrence of each context, the copies); by h; one row an occurrence."""
+    rec = rec[np.argsort(rec["h"])]
     if len(rec) < 2:
         return rec, rec[:0]
-    same = (rec["h"][1:] == rec["h"][:-1]) & (rec["context"][1:] == rec["context"][:-1])
-    again = same & (rec["doc"][1:] == rec["doc"][:-1]) & (rec["place"][1:] == rec["place"][:-1])
-    first = np.concatenate([[True], ~same])
-    copy = np.concatenate([[False], same & ~again])
+    tie = rec["h"][1:] == rec["h"][:-1]
+    group = np.concatenate([[False], tie]) | np.concatenate([tie, [False]])  # most grams are alone
+    own = rec[group]
+    rec[group] = own = own[np.lexsort((own["place"], own["doc"], own["context"], own["h"]))]
+    same = (own["h"][1:] == own["h"][:-1]) & (own["context"][1:] == own["context"][:-1])
+    again = same & (own["doc"][1:] == own["doc"][:-1]) & (own["place"][1:] == own["place"][:-1])
+    first = np.ones(len(rec), dtype=bool)
+    copy = np.zeros(len(rec), dtype=bool)
+    at = np.flatnonzero(group)[1:]
+    first[at[same]] = False
+    copy[at[same & ~again]] = True
     return rec[first], rec[copy]
 
 
 def _reports(rec: np.ndarray, kind: np.ndarray | int) -> pa.RecordBatch:
-    """(doc, start, stop, place, h): bytes start:stop of a document; h is null for a copy, else the shard that asks for them."""
+    """(doc, start, stop, gram, h): bytes start:stop of a document; h is null for a copy, else the anchor at ``gram`` bytes from start asks for them."""
     ask = np.broadcast_to(np.asarray(kind) == 1, len(rec))
     start = rec["place"].astype(np.int64) - rec["left"]
     return pa.RecordBatch.from_arrays([
         pa.array(rec["doc"]), pa.array(start.astype(np.int32)), pa.array((rec["place"].astype(np.int64) + rec["right"]).astype(np.int32)),
-        pa.array(rec["h"].astype(np.int64), mask=~ask),
-    ], names=["doc", "start", "stop", "h"])
+        pa.array(rec["left"].astype(np.int32)), pa.array(rec["h"].astype(np.int64), mask=~ask),
+    ], names=["doc", "start", "stop", "gram", "h"])
 
 
-_REPORT = "doc long, start int, stop int, h long"
+_REPORT = "doc long, start int, stop int, gram int, h long"
 
 
 def _anchor_rows(docs: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, anchors, doc, start, stop, h): packed anchors for shards, and copies within a task (shard null)."""
+    """(shard, anchors, doc, start, stop, gram, h): packed anchors for shards, and copies within a task (shard null)."""
 
     def run(batches):
         def chunk(ids: list, texts: list[bytes]):
@@ -388,11 +425,11 @@ def _anchor_rows(docs: DataFrame, n_shards: int) -> DataFrame:
             blobs = [_squeeze(first[a:b]) for a, b in zip(cut[:-1], cut[1:])]
             n = len(blobs)
             if n:
-                none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.array(blobs, pa.binary()), *none], names=["shard", "anchors", "doc", "start", "stop", "h"])
+                none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.array(blobs, pa.binary()), *none], names=["shard", "anchors", "doc", "start", "stop", "gram", "h"])
             for at in range(0, len(copies), 100_000):
                 rep = _reports(copies[at : at + 100_000], 0)
-                yield pa.RecordBatch.from_arrays([pa.nulls(rep.num_rows, pa.int64()), pa.nulls(rep.num_rows, pa.binary()), *rep.columns], names=["shard", "anchors", "doc", "start", "stop", "h"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(rep.num_rows, pa.int64()), pa.nulls(rep.num_rows, pa.binary()), *rep.columns], names=["shard", "anchors", "doc", "start", "stop", "gram", "h"])
 
         ids, texts, size = [], [], 0
         for batch in batches:
@@ -442,23 +479,24 @@ def _resolve(rows: DataFrame) -> DataFrame:
 
 
 def _contexts(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """(h, doc, start, bytes) of the contexts asked for."""
-    per = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "h")).alias("asks"))
+    """(h, doc, start, gram, bytes) of the contexts asked for."""
+    per = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "gram", "h")).alias("asks"))
 
     def run(batches):
         for batch in batches:
-            out: dict = {"h": [], "doc": [], "start": [], "bytes": []}
+            out: dict = {"h": [], "doc": [], "start": [], "gram": [], "bytes": []}
             for doc, text, asks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 for a in asks:
                     out["h"].append(a["h"])
                     out["doc"].append(doc)
                     out["start"].append(a["start"])
+                    out["gram"].append(a["gram"])
                     out["bytes"].append(data[a["start"] : a["stop"]])
-            yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["bytes"], pa.binary())], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["gram"], pa.int32()), pa.array(out["bytes"], pa.binary())], names=list(out))
 
     joined = per.join(docs, per["doc"] == F.coalesce(docs["doc_id"], F.lit(NO_ID))).select("doc", "text", "asks")
-    return joined.mapInArrow(run, "h long, doc long, start int, bytes binary")
+    return joined.mapInArrow(run, "h long, doc long, start int, gram int, bytes binary")
 
 
 def removed_starts(contexts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -475,9 +513,13 @@ def removed_starts(contexts: list[bytes], doc: np.ndarray, start: np.ndarray) ->
     offset = np.arange(len(t)) - cut[which]
     whole = offset + LENGTH <= size[which]  # a whole string before the separator
     inside = whole[sa]
-    group = np.cumsum((plcp[sa] < LENGTH) | ~inside)
-    at = sa[inside]
-    group = group[inside]
+    joined = inside & (plcp[sa] >= LENGTH)  # equal to the suffix before it
+    member = joined.copy()
+    member[:-1] |= joined[1:]
+    group = np.cumsum(~joined)[member]
+    at = sa[member]
+    if not len(at):
+        return at, at
     w, o = which[at], offset[at]
     d, p = doc[w], start[w] + o
     order = np.lexsort((p, d, group))
@@ -489,13 +531,35 @@ def removed_starts(contexts: list[bytes], doc: np.ndarray, start: np.ndarray) ->
     return w[order][later], o[order][later]
 
 
+def _trimmed(part: list[tuple]) -> list[tuple]:
+    """(doc, start, bytes) of the contexts that can share a whole string with another of the same anchor.
+
+    Such a string reaches ``HALF`` bytes to one side of the anchor's gram at least. A side on
+    which no other context agrees that far is cut to less than that, and a context
+    that agrees on neither side goes.
+    """
+    digest = xxhash.xxh3_64_intdigest
+    left = [(h, digest(c[g - HALF : g + GRAM])) if g >= HALF else None for h, _, _, g, c in part]
+    right = [(h, digest(c[g : g + GRAM + HALF])) if len(c) >= g + GRAM + HALF else None for h, _, _, g, c in part]
+    n_left, n_right = Counter(left), Counter(right)
+    out = []
+    for (_, doc, start, gram, c), a, b in zip(part, left, right):
+        on_left, on_right = a is not None and n_left[a] > 1, b is not None and n_right[b] > 1
+        if on_left or on_right:
+            cut = 0 if on_left else max(0, gram - HALF + 1)
+            end = len(c) if on_right else gram + GRAM + HALF - 1
+            out.append((doc, start + cut, c[cut:end]))
+    return out
+
+
 def _sort_contexts(contexts: DataFrame, n_shards: int) -> DataFrame:
-    """(doc, start, stop, h) of what the suffix arrays find repeated; h is null."""
+    """(doc, start, stop) of what the suffix arrays find repeated."""
 
     def found(part: list[tuple]) -> pa.RecordBatch:
-        doc = np.array([x[1] for x in part], dtype=np.int64)
-        start = np.array([x[2] for x in part], dtype=np.int64)
-        w, o = removed_starts([x[3] for x in part], doc, start)
+        part = _trimmed(part)
+        doc = np.array([x[0] for x in part], dtype=np.int64)
+        start = np.array([x[1] for x in part], dtype=np.int64)
+        w, o = removed_starts([x[2] for x in part], doc, start) if part else (doc, doc)
         order = np.lexsort((o, w))
         w, o = w[order], o[order]
         # runs of neighbouring starts make one interval
@@ -503,9 +567,8 @@ def _sort_contexts(contexts: DataFrame, n_shards: int) -> DataFrame:
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(w)) - 1
         return pa.RecordBatch.from_arrays([
-            pa.array(doc[w[head]]), pa.array((start[w[head]] + o[head]).astype(np.int32)),
-            pa.array((start[w[tail]] + o[tail] + LENGTH).astype(np.int32)), pa.nulls(len(head), pa.int64()),
-        ], names=["doc", "start", "stop", "h"])
+            pa.array(doc[w[head]]), pa.array((start[w[head]] + o[head]).astype(np.int32)), pa.array((start[w[tail]] + o[tail] + LENGTH).astype(np.int32)),
+        ], names=["doc", "start", "stop"])
 
     def run(batches):
         part, size, last = [], 0, None
@@ -515,12 +578,12 @@ def _sort_contexts(contexts: DataFrame, n_shards: int) -> DataFrame:
                     yield found(part)
                     part, size = [], 0
                 part.append(row)
-                size += len(row[3]) + 1
+                size += len(row[4]) + 1
                 last = row[0]
         if part:
             yield found(part)
 
-    return contexts.repartition(n_shards, "h").sortWithinPartitions("h").mapInArrow(run, _REPORT)
+    return contexts.repartition(n_shards, "h").sortWithinPartitions("h").mapInArrow(run, "doc long, start int, stop int")
 
 
 def _merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -538,12 +601,12 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n_shards = shuffle_width(spark)
     rows = _anchor_rows(docs, n_shards)
-    own = rows.where("shard IS NULL").select("doc", "start", "stop", "h")
+    own = rows.where("shard IS NULL").select("doc", "start", "stop", "gram", "h")
     dealt = rows.where("shard IS NOT NULL").select("shard", "anchors").repartition(n_shards, "shard")
     reports = shared_checkpoint(_resolve(dealt))
     copies = reports.where("h IS NULL").unionByName(own)
     sorted_out = _sort_contexts(_contexts(reports.where("h IS NOT NULL"), docs), n_shards)
-    return copies.unionByName(sorted_out).select("doc", "start", "stop")
+    return copies.select("doc", "start", "stop").unionByName(sorted_out)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
