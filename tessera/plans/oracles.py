@@ -160,4 +160,6 @@ _add(
     distribution_ways="SELECT way, tile FROM fw",
     distribution_relations="SELECT rel, tile FROM frel",
     distribution_plain="SELECT tile, kind, count(*) AS n FROM (SELECT tile, 'node' AS kind FROM ont UNION ALL SELECT tile, 'way' FROM owt UNION ALL SELECT tile, 'relation' FROM ort) GROUP BY tile, kind",
+    event_windows="""SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n,
+      CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2""",
 )

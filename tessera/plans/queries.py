@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes, geometry, tags, units
-from ..operators import assign, density, distribute, multitile, problems
+from ..operators import assign, density, distribute, multitile, problems, solver
+from ..streaming import events
 from ..sources.derived import TILE_LAT, TILE_LON, TILES, Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -529,3 +530,18 @@ def distribution_relations(g: Graph) -> DataFrame:
 @query
 def distribution_plain(g: Graph) -> DataFrame:
     return distribute.per_tile(distribute.distribute_plain(_elements(g), g.tiles))
+
+
+@query
+def solver_tiles(g: Graph) -> DataFrame:
+    """Tiles of the search over the density grid, with their node counts; the search is no SQL."""
+    grid = solver.Grid.from_cells(_cells(g), SHIFT, GRID[3] >> SHIFT, GRID[2] >> SHIFT)
+    budget = max(50, grid.count(grid.whole()) // 40)
+    size = 1 << SHIFT
+    rows = [(i, r.y0 * size, r.x0 * size, r.y1 * size, r.x1 * size, grid.count(r), float(grid.shape(r))) for i, r in enumerate(solver.split(grid, budget))]
+    return g.spark.createDataFrame(rows, "tile long, min_lat long, min_lon long, max_lat long, max_lon long, n long, ratio double")
+
+
+@query
+def event_windows(g: Graph) -> DataFrame:
+    return events.windowed_counts(g.table("events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "cents")
