@@ -59,8 +59,8 @@ REACH = LENGTH - GRAM
 #: A string reaches so far beyond the gram on one side at least.
 HALF = (LENGTH - GRAM) // 2
 CHUNK_BYTES = 2_000_000
-#: Bytes of distinct contexts in one suffix array, unless one anchor has more.
-SHARD_BYTES = 4_000_000
+#: Bytes of distinct contexts in one suffix array, unless one anchor has more: what the caches hold sorts fastest.
+SHARD_BYTES = 400_000
 NO_ID = -(1 << 63)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
