@@ -45,7 +45,7 @@ ALLOW = re.compile(
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 )
 _HEX_CHARS = frozenset("0123456789abcdef")
-_CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+_CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # a window holds one more character while it moves
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
