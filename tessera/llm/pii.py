@@ -181,7 +181,7 @@ def fit(labels: list[int], features: list[tuple[str, ...]], chain: list[tuple[in
     names = sorted({f for fs in features for f in fs})
     at = {f: i for i, f in enumerate(names)}
     y = np.eye(n_labels)[np.asarray(labels, dtype=int)] if labels else np.zeros((0, n_labels))
-    x = np.array([[at[f] for f in fs] for fs in features], dtype=int).reshape(len(features), -1)
+    x = np.array([[at[f] for f in fs] for fs in features], dtype=int).reshape(len(features), len(features[0]) if features else 0)
     weights = np.zeros((len(names), n_labels))
     bias = np.log(y.sum(0) + 1) - np.log(len(y) + n_labels)
     g2 = np.full_like(weights, 1e-6)
