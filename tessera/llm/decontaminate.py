@@ -74,8 +74,8 @@ def judge_documents(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_wind
     else:
         judged = _probed(docs, grams, lens, total)
     for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"):
-        judged = judged.withColumn(c, F.col("__judged")[c])
-    return judged.drop("__judged")
+        judged = judged.withColumn(c, F.col("__decon_judged")[c])
+    return judged.drop("__decon_judged")
 
 
 def _probed(docs: DataFrame, grams: DataFrame, lens: list[int], total: int) -> DataFrame:
@@ -89,10 +89,10 @@ def _probed(docs: DataFrame, grams: DataFrame, lens: list[int], total: int) -> D
     seen = grams.select(F.explode("gram").alias("x")).select(F.pmod(F.xxhash64("x"), F.lit(k)).cast("int").alias("b")).distinct()
     seen = seen.agg(F.array_sort(F.collect_list("b")).alias("slots")).select(F.transform(_dense("slots", k), lambda x: x >= 0).alias("known"))
     # These columns are used once each, so they collapse into the projection and no row carries a copy of the set.
-    held = docs.withColumns({"__w": words(F.col("text")), "__lists": packed.select("lists").scalar(), "__slot": packed.select("slot").scalar(), "__known": seen.scalar()})
-    parts = F.struct(*[F.col(f"__{c}").alias(c) for c in ("w", "lists", "slot", "known")])
+    held = docs.withColumns({"__decon_w": words(F.col("text")), "__decon_lists": packed.select("lists").scalar(), "__decon_slot": packed.select("slot").scalar(), "__decon_known": seen.scalar()})
+    parts = F.struct(*[F.col(f"__decon_{c}").alias(c) for c in ("w", "lists", "slot", "known")])
     judged = let(parts, lambda x: _judge(F.size(x["w"]), _hits(x, x["w"], lens, k)))
-    return held.withColumn("__judged", judged).drop("__w", "__lists", "__slot", "__known")
+    return held.withColumn("__decon_judged", judged).drop("__decon_w", "__decon_lists", "__decon_slot", "__decon_known")
 
 
 def _hits(grams: Column, w: Column, lens: list[int], k: int) -> Column:
@@ -133,21 +133,33 @@ def _dense(slots: str, k: int) -> Column:
 
 def _joined(docs: DataFrame, grams: DataFrame, lens: list[int]) -> DataFrame:
     """The way for a benchmark beyond the broadcast bound: hash join of windows, verified."""
-    keyed = docs.withColumn("__row", F.struct(F.monotonically_increasing_id().alias("r"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
-    keyed = keyed.withColumn("__w", words(F.col("text")))
-    cut = F.concat(*[F.transform(_starts(F.col("__w"), n), lambda i, n=n: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice(F.col("__w"), i, F.lit(n))).alias("h"))) for n in lens])
-    cand = keyed.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.explode(cut).alias("x")).select("doc_id", "th", "x.*")
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def cut(w: Column) -> Column:
+        def of(n: int) -> Column:
+            return F.transform(_starts(w, n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice(w, i, F.lit(n))).alias("h")))
+
+        return F.concat(*[of(n) for n in lens])
+
+    # The text's hash is taken below the explosion, so that no exploded row carries or hashes a text.
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("th"), let(words(F.col("text")), cut).alias("cuts"))
+    cand = keyed.select("doc_id", "th", F.explode("cuts").alias("x")).select("doc_id", "th", "x.*")
     hit = cand.join(grams.select(F.xxhash64("gram").alias("h"), "gram", "items"), "h")
-    per = hit.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "len", "gram", "items")).alias("hits"))
-    per = per.withColumnsRenamed({"doc_id": "__id", "th": "__th"})
-    both = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row")["h"] == F.col("__th")), "left")
-    true = F.filter(F.coalesce("hits", F.array().cast("array<struct<pos:int,len:int,gram:array<string>,items:array<bigint>>>")), lambda x: x["gram"] == F.slice(F.col("__w"), x["pos"], x["len"]))
-    return both.withColumn("__judged", _judge(F.size("__w"), true)).drop("__row", "__w", "__id", "__th", "hits")
+    per = hit.groupBy(F.col("doc_id").alias("__decon_id"), F.col("th").alias("__decon_th")).agg(F.collect_set(F.struct("pos", "len", "gram", "items")).alias("__decon_hits"))
+    both = docs.join(per, F.col("doc_id").eqNullSafe(F.col("__decon_id")) & (F.xxhash64(text) == F.col("__decon_th")), "left")
+
+    def judged(x: Column) -> Column:
+        true = F.filter(x["hits"], lambda h: h["gram"] == F.slice(x["w"], h["pos"], h["len"]))
+        return _judge(F.size(x["w"]), true)
+
+    none = F.array().cast("array<struct<pos:int,len:int,gram:array<string>,items:array<bigint>>>")
+    parts = F.struct(words(F.col("text")).alias("w"), F.coalesce("__decon_hits", none).alias("hits"))
+    return both.withColumn("__decon_judged", let(parts, judged)).drop("__decon_id", "__decon_th", "__decon_hits")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """docs without the contaminated ones; columns unchanged."""
-    clash = {c: f"__kept_{c}" for c in docs.columns if c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")}
+    clash = {c: f"__decon_kept_{c}" for c in docs.columns if c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")}
     judged = judge_documents(docs.withColumnsRenamed(clash), items, **how)
     return judged.where(~F.col("contaminated")).drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated").withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
 

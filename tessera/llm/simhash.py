@@ -207,8 +207,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     Rows that repeat the kept id stay; rows without an id stay.
     """
-    found = components(docs, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs[id_col] == found["__gone"], "left_anti")
+    found = components(docs, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__simhash_gone")).distinct()
+    return docs.join(found, docs[id_col] == found["__simhash_gone"], "left_anti")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,11 +84,13 @@ def _selected(features: list[np.ndarray], labels: list[int]) -> np.ndarray:
 
 
 def fit(features: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, rank: int = RANK, seed: int = 7) -> Machine:
+    """Weights from hashed terms and labels; ``features`` is emptied once it is indexed, as it may be large."""
     if not labels:
         return Machine(-np.inf, {}, np.zeros(0), np.zeros((0, rank)))
     names = _selected(features, labels)
     at = {int(x): i for i, x in enumerate(names)}
-    rows = [np.searchsorted(names, f[np.isin(f, names)]) for f in features]
+    rows = [np.searchsorted(names, f[np.isin(f, names)]).astype(np.int32) for f in features]
+    features.clear()
     y = np.array(labels, dtype=float)
     rng = np.random.default_rng(seed)
     d = len(names)
@@ -133,7 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # Packed, as the driver holds them all; one row an id, so that repeated rows cannot pass the bound.
     rows = map_docs(texts, per_batch, "doc_id long, terms binary").groupBy("doc_id").agg(F.min("terms").alias("terms")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([np.frombuffer(r["terms"], dtype="<i4") for r in rows], [label[r["doc_id"]] for r in rows])
+    toxic = [label[r["doc_id"]] for r in rows]
+    features = [np.frombuffer(r["terms"], dtype="<i4") for r in rows]
+    del rows
+    return fit(features, toxic)
 
 
 def score_texts(texts: list[str], machine: Machine, cache: dict[str, int]) -> list[float]:
