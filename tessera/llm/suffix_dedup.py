@@ -565,7 +565,7 @@ def _sort_contexts(contexts: DataFrame, n_shards: int) -> DataFrame:
         # runs of neighbouring starts make one interval
         new = np.concatenate([[True], (w[1:] != w[:-1]) | (o[1:] != o[:-1] + 1)]) if len(w) else np.zeros(0, dtype=bool)
         head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(w)) - 1
+        tail = np.append(head[1:], len(w))[: len(head)] - 1
         return pa.RecordBatch.from_arrays([
             pa.array(doc[w[head]]), pa.array((start[w[head]] + o[head]).astype(np.int32)), pa.array((start[w[tail]] + o[tail] + LENGTH).astype(np.int32)),
         ], names=["doc", "start", "stop"])
