@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from io import BytesIO
+from itertools import islice
+from pathlib import PurePosixPath
+from xml.etree import ElementTree
+from zipfile import ZipFile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import open_raw
 from .model import COLUMNS, ELEMENT, MEMBERS, TAGS
 from .osm_o5m import O5mDataSource
 from .osm_pbf import PbfDataSource
@@ -52,8 +59,56 @@ def read_xml(spark: SparkSession, path: str, file_seq: int = 0) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def _zip_rows(path: str, file_seq: int) -> Iterator[tuple]:
+    """Elements of the XML file in a zip archive, streamed."""
+    with ZipFile(BytesIO(open_raw(path).read())) as z:
+        stem = PurePosixPath(path).stem
+        stack = []
+        entry = next(n for n in z.namelist() if n.startswith(stem))
+        with z.open(entry) as f:
+            for at, (event, e) in enumerate(ElementTree.iterparse(f, events=("start", "end"))):
+                if event == "start":
+                    stack.append(e)
+                    continue
+                stack.pop()
+                if len(stack) != 1:
+                    continue
+                got = _zip_element(e)
+                stack[0].clear()
+                if got:
+                    row = dict.fromkeys(COLUMNS) | got | {"file_seq": file_seq, "elem_seq": at}
+                    yield tuple(row[c] for c in COLUMNS)
+
+
+def _zip_element(e: ElementTree.Element) -> dict | None:
+    a = e.attrib
+    if e.tag == "bounds" and {"minlat", "minlon", "maxlat", "maxlon"} <= set(a):
+        return {"kind": "b"} | {c: float(a[k]) for c, k in (("lat", "minlat"), ("lon", "minlon"), ("lat2", "maxlat"), ("lon2", "maxlon"))}
+    if e.tag not in ("node", "way", "relation") or a.get("action") == "delete" or "id" not in a:
+        return None
+    out = {"kind": e.tag[0], "id": int(a["id"]), "version": int(a.get("version", 0)), "tags": [(t.get("k"), t.get("v", "")) for t in e.iter("tag")]}
+    if e.tag == "node":
+        return out | {"lat": float(a["lat"]), "lon": float(a["lon"])} if {"lat", "lon"} <= set(a) else None
+    if e.tag == "way":
+        return out | {"refs": [int(n.get("ref")) for n in e.iter("nd")]}
+    return out | {"members": [(m.get("type"), int(m.get("ref")), m.get("role", "")) for m in e.iter("member") if m.get("type") in ("node", "way", "relation")]}
+
+
+def read_zip(spark: SparkSession, path: str, file_seq: int = 0) -> DataFrame:
+    """An XML file in a zip archive, which no reader can split: one task streams it."""
+    import pandas as pd
+
+    def run(batches):
+        for _ in batches:
+            rows = _zip_rows(path, file_seq)
+            while part := list(islice(rows, 50_000)):
+                yield pd.DataFrame(part, columns=COLUMNS).astype({c: "Int64" for c in ("id", "version", "file_seq", "elem_seq")})
+
+    return spark.range(1).coalesce(1).mapInPandas(run, ELEMENT)
+
+
 def read_osm(spark: SparkSession, *paths: str, kinds: str = "nwr") -> DataFrame:
-    """Elements of all files in order; the format is told by the suffix: .o5m, .pbf, else XML."""
+    """Elements of all files in order; the format is told by the suffix: .o5m, .pbf, else XML (also .gz, .bz2, .zip)."""
     frames = []
     for seq, path in enumerate(paths):
         if path.endswith((".o5m", ".pbf")):
@@ -62,5 +117,6 @@ def read_osm(spark: SparkSession, *paths: str, kinds: str = "nwr") -> DataFrame:
             df = spark.read.format(source.name()).option("paths", path).option("kinds", kinds).load()
             frames.append(df.withColumn("file_seq", F.lit(seq)))
         else:
-            frames.append(read_xml(spark, path, seq).where(F.col("kind").isin(*kinds, "b")))
+            read = read_zip if path.endswith(".zip") else read_xml
+            frames.append(read(spark, path, seq).where(F.col("kind").isin(*kinds, "b")))
     return reduce(DataFrame.unionByName, frames)

@@ -75,6 +75,10 @@ def test_xml_rules(spark, tmp_path):
     with gzip.open(f"{path}.gz", "wt") as f:
         f.write(path.read_text())
     assert osm.read_osm(spark, f"{path}.gz").count() == 4
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.write(path, "a.osm")
+    plain, zipped = (sorted(map(str, osm.read_osm(spark, str(tmp_path / n)).drop("elem_seq").collect())) for n in ("a.osm", "a.zip"))
+    assert plain == zipped
 
 
 def test_o5m_skips_deletions_and_unknown_sets(tmp_path):
