@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +74,3 @@ def union_box(df: DataFrame, *keys: str) -> DataFrame:
     """The box around all boxes of a group."""
     aggs = [(F.min if e.startswith("min") else F.max)(e).alias(e) for e in EDGES]
     return df.groupBy(*keys).agg(*aggs)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
