@@ -16,7 +16,8 @@ window meet in the shard of the anchor's hash:
    pre-aggregated before the shuffle.
 2. In a shard, anchors that occur once end here. Of equal contexts (128-bit
    hash) the earliest stays and the others are copies. Where different
-   contexts share an anchor, their bytes are asked for.
+   contexts share an anchor, their bytes are asked for; an anchor with many of
+   them is split by the bytes beside its gram, so it fills no task.
 3. A join by document brings the bytes; the contexts go to the shards again.
    Sides on which no other context of the anchor agrees are cut off. The
    shard's text, the distinct contexts side by side, gets its suffix
@@ -45,6 +46,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +58,10 @@ LENGTH = 100
 GRAM = 28
 #: An anchor starts at most this far into its window.
 REACH = LENGTH - GRAM
+#: An anchor with more distinct contexts than this is split by the bytes beside its gram.
+HOT = 1000
+#: Bytes beside the gram that split a hot anchor.
+BESIDE = 4
 #: A string reaches so far beyond the gram on one side at least.
 HALF = (LENGTH - GRAM) // 2
 CHUNK_BYTES = 2_000_000
@@ -395,21 +401,21 @@ def _earliest(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rec[first], rec[copy]
 
 
-def _reports(rec: np.ndarray, kind: np.ndarray | int) -> pa.RecordBatch:
-    """(doc, start, stop, gram, h): bytes start:stop of a document; h is null for a copy, else the anchor at ``gram`` bytes from start asks for them."""
-    ask = np.broadcast_to(np.asarray(kind) == 1, len(rec))
+def _reports(rec: np.ndarray, kind: int, hot: np.ndarray | bool = False) -> pa.RecordBatch:
+    """(doc, start, stop, gram, h, hot): bytes start:stop of a document; h is null for a copy, else the anchor at ``gram`` bytes from start asks for them."""
+    ask = np.full(len(rec), kind == 1)
     start = rec["place"].astype(np.int64) - rec["left"]
     return pa.RecordBatch.from_arrays([
         pa.array(rec["doc"]), pa.array(start.astype(np.int32)), pa.array((rec["place"].astype(np.int64) + rec["right"]).astype(np.int32)),
-        pa.array(rec["left"].astype(np.int32)), pa.array(rec["h"].astype(np.int64), mask=~ask),
-    ], names=["doc", "start", "stop", "gram", "h"])
+        pa.array(rec["left"].astype(np.int32)), pa.array(rec["h"].astype(np.int64), mask=~ask), pa.array(np.broadcast_to(hot, len(rec))),
+    ], names=["doc", "start", "stop", "gram", "h", "hot"])
 
 
-_REPORT = "doc long, start int, stop int, gram int, h long"
+_REPORT = "doc long, start int, stop int, gram int, h long, hot boolean"
 
 
 def _anchor_rows(docs: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, anchors, doc, start, stop, gram, h): packed anchors for shards, and copies within a task (shard null)."""
+    """(shard, anchors, doc, start, stop, gram, h, hot): packed anchors for shards, and copies within a task (shard null)."""
 
     def run(batches):
         def chunk(ids: list, texts: list[bytes]):
@@ -425,11 +431,11 @@ def _anchor_rows(docs: DataFrame, n_shards: int) -> DataFrame:
             blobs = [_squeeze(first[a:b]) for a, b in zip(cut[:-1], cut[1:])]
             n = len(blobs)
             if n:
-                none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.array(blobs, pa.binary()), *none], names=["shard", "anchors", "doc", "start", "stop", "gram", "h"])
+                none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.array(blobs, pa.binary()), *none], names=["shard", "anchors", "doc", "start", "stop", "gram", "h", "hot"])
             for at in range(0, len(copies), 100_000):
                 rep = _reports(copies[at : at + 100_000], 0)
-                yield pa.RecordBatch.from_arrays([pa.nulls(rep.num_rows, pa.int64()), pa.nulls(rep.num_rows, pa.binary()), *rep.columns], names=["shard", "anchors", "doc", "start", "stop", "gram", "h"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(rep.num_rows, pa.int64()), pa.nulls(rep.num_rows, pa.binary()), *rep.columns], names=["shard", "anchors", "doc", "start", "stop", "gram", "h", "hot"])
 
         ids, texts, size = [], [], 0
         for batch in batches:
@@ -466,34 +472,79 @@ def _resolve(rows: DataFrame) -> DataFrame:
             return
         first, copies = _earliest(np.concatenate(held))
         h = first["h"]
-        near = np.zeros(len(first), dtype=bool)
-        if len(first) > 1:
-            pair = h[1:] == h[:-1]
-            near[1:] |= pair
-            near[:-1] |= pair
-        for rec, kind in ((copies, 0), (first[near], 1)):
+        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.append(cut, len(h)))
+        size = np.repeat(size, size)  # distinct contexts of each row's anchor
+        near = size > 1
+        hot = size[near] > HOT
+        for rec, kind, flag in ((copies, 0, np.zeros(len(copies), dtype=bool)), (first[near], 1, hot)):
             for at in range(0, len(rec), 100_000):
-                yield _reports(rec[at : at + 100_000], kind)
+                yield _reports(rec[at : at + 100_000], kind, flag[at : at + 100_000])
 
     return rows.select("anchors").mapInArrow(run, _REPORT)
 
 
+def _split(h: int, c: bytes, g: int) -> tuple[list[tuple[int, int, int, bytes]], list[tuple[int, int, int, bytes]]]:
+    """(parts, exact) of a context of a hot anchor, its gram at ``g``: (key, offset, gram, bytes) each.
+
+    A string that starts o bytes before the gram reaches HALF beyond it on one
+    side. With BESIDE bytes or more on the other side too, it agrees on those and on
+    that half, which are the key of a part. The few strings with less there are
+    listed one by one, by their hash.
+    """
+    def key(kind: bytes, data: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(kind + h.to_bytes(8, "big", signed=True) + data) >> 1
+
+    parts, exact = [], []
+    if g >= BESIDE and len(c) >= g + GRAM + HALF:
+        cut = max(0, g - HALF)
+        parts.append((key(b"R", c[g - BESIDE : g + GRAM + HALF]), cut, g - cut, c[cut:]))
+    if g >= HALF and len(c) >= g + GRAM + BESIDE:
+        parts.append((key(b"L", c[g - HALF : g + GRAM + BESIDE]), 0, g, c[: g + GRAM + HALF]))
+    for o in (*range(BESIDE), *range(REACH - BESIDE + 1, REACH + 1)):
+        if g >= o and len(c) >= g - o + LENGTH:
+            one = c[g - o : g - o + LENGTH]
+            exact.append((key(b"E", one), g - o, o, one))
+    return parts, exact
+
+
 def _contexts(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """(h, doc, start, gram, bytes) of the contexts asked for."""
-    per = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "gram", "h")).alias("asks"))
+    """(h, doc, start, gram, bytes) of the contexts asked for; without bytes, a string that is known to repeat.
+
+    Contexts of hot anchors are split. A single string that many of them hold is
+    pre-aggregated: the task sends its earliest occurrence on and reports the others.
+    """
+    per = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "gram", "h", "hot")).alias("asks"))
+    names = ["h", "doc", "start", "gram", "bytes"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     def run(batches):
+        first: dict[int, tuple[int, int, int, bytes]] = {}
         for batch in batches:
-            out: dict = {"h": [], "doc": [], "start": [], "gram": [], "bytes": []}
+            rows: list[tuple] = []
             for doc, text, asks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 for a in asks:
-                    out["h"].append(a["h"])
-                    out["doc"].append(doc)
-                    out["start"].append(a["start"])
-                    out["gram"].append(a["gram"])
-                    out["bytes"].append(data[a["start"] : a["stop"]])
-            yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["gram"], pa.int32()), pa.array(out["bytes"], pa.binary())], names=list(out))
+                    c = data[a["start"] : a["stop"]]
+                    if not a["hot"]:
+                        rows.append((a["h"], doc, a["start"], a["gram"], c))
+                        continue
+                    parts, exact = _split(a["h"], c, a["gram"])
+                    rows += [(k, doc, a["start"] + at, g, part) for k, at, g, part in parts]
+                    for k, at, g, one in exact:
+                        here = (doc, a["start"] + at, g, one)
+                        known = first.setdefault(k, here)
+                        if known[:2] != here[:2]:
+                            first[k], later = (known, here) if known[:2] < here[:2] else (here, known)
+                            rows.append((doc, later[0], later[1], later[2], None))
+            if rows:
+                yield batch_of(rows)
+        left = [(k, *v) for k, v in first.items()]
+        for at in range(0, len(left), 50_000):
+            yield batch_of(left[at : at + 50_000])
 
     joined = per.join(docs, per["doc"] == F.coalesce(docs["doc_id"], F.lit(NO_ID))).select("doc", "text", "asks")
     return joined.mapInArrow(run, "h long, doc long, start int, gram int, bytes binary")
@@ -573,6 +624,11 @@ def _sort_contexts(contexts: DataFrame, n_shards: int) -> DataFrame:
     def run(batches):
         part, size, last = [], 0, None
         for batch in batches:
+            known = pc.is_null(batch.column(4))
+            if pc.any(known).as_py():
+                one = batch.filter(known)
+                yield pa.RecordBatch.from_arrays([one.column(1), one.column(2), pc.add(one.column(2), pa.scalar(LENGTH, pa.int32()))], names=["doc", "start", "stop"])
+                batch = batch.filter(pc.invert(known))
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if size >= SHARD_BYTES and row[0] != last:  # an anchor's contexts stay together
                     yield found(part)
@@ -601,7 +657,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n_shards = shuffle_width(spark)
     rows = _anchor_rows(docs, n_shards)
-    own = rows.where("shard IS NULL").select("doc", "start", "stop", "gram", "h")
+    own = rows.where("shard IS NULL").select("doc", "start", "stop", "gram", "h", "hot")
     dealt = rows.where("shard IS NOT NULL").select("shard", "anchors").repartition(n_shards, "shard")
     reports = shared_checkpoint(_resolve(dealt))
     copies = reports.where("h IS NULL").unionByName(own)

@@ -149,9 +149,10 @@ def passages():
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [suffix_dedup.SHARD_BYTES, 2000])
-def test_passages_against_brute_force(make_docs, awkward, monkeypatch, shard_bytes):
+@pytest.mark.parametrize("shard_bytes, hot", [(suffix_dedup.SHARD_BYTES, suffix_dedup.HOT), (2000, 1), (2000, 4)])
+def test_passages_against_brute_force(make_docs, awkward, monkeypatch, shard_bytes, hot):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = passages() + [(None if i is None else i + 5000, t if t is None else t[:20_000]) for i, t in awkward]
     got = suffix_dedup.deduplicate(make_docs(rows)).collect()
     want = plain_dedup(rows)
