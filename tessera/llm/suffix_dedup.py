@@ -59,7 +59,7 @@ GRAM = 28
 #: An anchor starts at most this far into its window.
 REACH = LENGTH - GRAM
 #: An anchor with more distinct contexts than this is split by the bytes beside its gram.
-HOT = 1000
+HOT = 2000
 #: Bytes beside the gram that split a hot anchor.
 BESIDE = 4
 #: A string reaches so far beyond the gram on one side at least.
