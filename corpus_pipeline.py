@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, mixing, pii, simhash, toxicity
+from tessera.llm import decontaminate, mixing, near_copies, pii, simhash, toxicity
 from tessera.llm.common import ship, table
 
 
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of near copies (five-word similarity 0.8) the document of the smallest id stays."""
+    return simhash.keep_first(docs, grouped=near_copies.components)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ table gives no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -193,21 +194,26 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return {"doc_id": ids, "fp": fingerprints(texts).view(np.int64)}
 
     marked = shared_checkpoint(map_docs(docs, per_batch, "doc_id long, fp long", id_col, text_col))
+    return component_ids(marked, links(marked.select("fp").distinct()))
+
+
+def component_ids(marked: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id): the least id connected with each row of (doc_id, fp) by edges of fp."""
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    stars = connected_components(links(distinct))
+    stars = connected_components(edges)
     placed = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     # Copies share a fingerprint, which may be hot: the small side has one row for each, and AQE splits the other.
     of = placed.join(least, "component").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    return marked.select("doc_id", "fp").join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", grouped: Callable[..., DataFrame] = components) -> DataFrame:
     """docs with one document of each component, the one of the smallest id; columns unchanged.
 
-    Rows that repeat the kept id stay; rows without an id stay.
+    ``grouped`` finds the components. Rows that repeat the kept id stay; rows without an id stay.
     """
-    found = components(docs, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__simhash_gone")).distinct()
+    found = grouped(docs, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__simhash_gone")).distinct()
     return docs.join(found, docs[id_col] == found["__simhash_gone"], "left_anti")
 
 
