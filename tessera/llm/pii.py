@@ -154,7 +154,7 @@ def add_nodes(nodes: Nodes, doc: int, text: str, base: list[tuple[int, int, str]
         nodes.doc.append(doc)
         nodes.start.append(start)
         nodes.end.append(end)
-        digits = "".join(c for c in token[:64] if "0" <= c <= "9")
+        digits = "".join(c for c in token if "0" <= c <= "9")
         nodes.features.append(("s" + _shape(token), f"d{min(len(digits), 20)}", f"l{min(len(token), 30)}", "w" + left))
         keys = [token.strip(".,;:!?()[]<>\"'").lower()] if len(token) >= 4 else []
         if len(digits) >= 7:

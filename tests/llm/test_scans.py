@@ -79,6 +79,15 @@ def test_field_adds_repeated_tokens(make_docs):
     assert pii.redact(text, spans) == "call [PHONE] now, later again [PHONE] or not 17"
 
 
+def test_long_tokens_link_by_the_digits_of_their_end():
+    x, y, z = ("/".join([c * 30] * 3) for c in "xyz")
+    text = f"see 1111111{x}5553824 then 2222222{y}5553824 and 1111111{z}9999999"
+    nodes = pii.Nodes()
+    pii.add_nodes(nodes, 0, text, [])
+    of = {text[s:e]: i for i, (s, e) in enumerate(zip(nodes.start, nodes.end))}
+    assert nodes.skip == [(of[f"1111111{x}5553824"], of[f"2222222{y}5553824"])]
+
+
 def test_messages_equal_exact_marginals_on_a_tree():
     """On a chain without loops message passing is exact."""
     import itertools
