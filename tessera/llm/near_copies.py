@@ -1,21 +1,29 @@
-"""Near copies by five-word shingles: exact Jaccard join, similarity 0.8 or more.
+"""Near copies by five-word shingles: SimHash trie self-join, settled by exact Jaccard similarity, 0.8 or more.
 
 A document is the set of 64-bit hashes of its five-word shingles (a shorter text
-is one shingle). Documents of equal sets are one node. Two sets of similarity 0.8
-share a shingle among the first ``n - ceil(0.8 n) + 1`` of each in any common
-order of shingles, so only these travel as (shingle, node, n) and meet by shingle.
-The order puts rare shingles first: a table of ``SLOTS`` rough document counts by
-hash, whatever the corpus. It decides the work only, never the result.
-
-Who meets is a candidate if the sizes allow 0.8. A shingle of at most ``CROWD``
-nodes gives all their pairs. A larger crowd first gives the pairs with its least
-node, and after these are settled all pairs whose nodes are not connected yet,
-so no pair that could connect two components is left out. A group costs its size where
-its least node connects it; the pairs of what it leaves apart grow with its square.
-
-Candidates first compare sketches, whose bound never drops a pair of similarity
-0.8; the whole sets of those left, and of no other documents but for collisions in
-a bit map, are then read again and settled by the exact intersection.
+is one shingle). Documents of equal sets are one node.
+
+First the binary trie self-join (``simhash.links``) over the SimHash fingerprints of
+the sets links nodes within ``BITS`` differing bits; the pairs of its spanning forest are
+settled by the exact sets. This connects most copies and nearly all of a large
+group, but a pair of similarity 0.8 differs in ten of 64 bits on average, beyond any
+budget that a trie can search. So the rest is completed by a prefix join: two sets
+of similarity 0.8 share a shingle among the first ``n - ceil(0.8 n) + 1`` of each in any
+common order of shingles, so only these travel as (shingle, node, n) and meet by
+shingle. The order puts rare shingles first: a table of ``SLOTS`` rough document counts
+by hash, whatever the corpus. It decides the work only, never the result.
+
+Of nodes that meet, pairs of one component need no further look; others are candidates
+if their sizes and their sketches allow 0.8, bounds that never drop a pair of
+that similarity. Where more than ``CROWD`` nodes meet, a node first offers the candidate of
+the nearest sketch in each other component, then, while they stay apart, four times
+as many in each round, until none is held back. So no link that could connect two
+components is left out, and a group whose members are one component costs its size alone.
+What stays apart inside a crowd is compared by sketches in one task: the number
+of those nodes times the crowd's.
+
+Whole sets are read again for candidates only (and what collides with them in a bit map
+of document ids) and intersected.
 
 Defined results are those of ``simhash``: null, empty or blank texts are one node.
 """
@@ -28,13 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import connected_components, map_docs, shared_checkpoint, shuffle_width
-from .simhash import component_ids
 
 SHINGLE = 5
+BITS = 3
 SLOTS = 1 << 18
 CROWD = 16
-ASKED_BITS = 22
+ASKED_BITS = 24
+#: Words whose hashes a worker keeps.
+CACHE = 100_000
 _SLICES = 16
 _SHIFT = np.uint64(64 - 18)
 
@@ -51,7 +62,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     for text in texts:
         # on UTF-8 bytes lower() changes A-Z only and split() knows just the six white-space bytes
         words = text.encode("utf-8", "surrogatepass").lower().split()
-        if len(of) > 500_000:
+        if len(of) > CACHE:
             of = _Hashes()
         w = np.fromiter(map(of.__getitem__, words), dtype=np.uint64, count=len(words))
         n = min(len(w), SHINGLE)
@@ -103,20 +114,29 @@ def rarity(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     return out
 
 
-def near(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes can have similarity 0.8."""
-    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles' counts by slot of their low bits."""
+    bits = min(8192, max(64, 4 << max(0, len(shingles) - 1).bit_length()))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
 
 
-def _pairs(u: np.ndarray, v: np.ndarray, key: np.ndarray | None = None, n: np.ndarray | None = None):
-    for at in range(0, len(u), 100_000):
-        s = slice(at, at + 100_000)
-        none = pa.nulls(len(u[s]), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(u[s]), pa.array(v[s]), none if key is None else pa.array(key[s]), none if n is None else pa.array(n[s])], names=["u", "v", "key", "n"])
+def least_differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of sketches, as rows of bytes, [i, j] a lower bound of the symmetric difference: each shingle in it flips one parity."""
+    while a.shape[1] != b.shape[1]:
+        if a.shape[1] > b.shape[1]:
+            a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+        else:
+            b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+    a, b = (np.ascontiguousarray(x).view(np.uint64) for x in (a, b))
+    out = np.zeros((len(a), len(b)), dtype=np.int32)
+    for k in range(a.shape[1]):
+        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return out
 
 
 def meet(batches):
-    """Candidates among the nodes of each shingle; those of a crowd carry the shingle."""
+    """The rows (key, sig, n) of shingles that several nodes hold."""
     held = [[batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)] for batch in batches]
     if not held:
         return
@@ -126,103 +146,139 @@ def meet(batches):
     key, sig, n = key[order], sig[order], n[order]
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])
     key, sig, n = key[fresh], sig[fresh], n[fresh]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(first, len(key)))
-    crowd = np.repeat(size > CROWD, size)
-    leader = np.repeat(sig[first], size)
-    yield from _pairs(sig[crowd], leader[crowd], key[crowd], n[crowd])
-    key, sig, n = key[~crowd], sig[~crowd], n[~crowd]
-    for step in range(1, CROWD):
-        i = np.flatnonzero(key[step:] == key[:-step]) if len(key) > step else []
-        if not len(i):
+    same = key[1:] == key[:-1]
+    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    key, sig, n = key[shared], sig[shared], n[shared]
+    for at in range(0, len(key), 100_000):
+        s = slice(at, at + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(sig[s]), pa.array(n[s])], names=["key", "sig", "n"])
+
+
+def candidates(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[bytes], most: int) -> tuple[list, list, bool]:
+    """Of the nodes of one shingle the pairs of unlike components that may have similarity 0.8.
+
+    Each node offers at most ``most`` nodes of each component that is larger here than its own, or
+    follows it, those of the nearest sketches; the last value tells whether it holds back others.
+    """
+    _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
+    rank = np.empty_like(size)
+    rank[np.argsort(size, kind="stable")] = np.arange(len(size))
+    comp = rank[comp]
+    by_length: dict[int, list[int]] = {}
+    for i, s in enumerate(sketches):
+        by_length.setdefault(len(s), []).append(i)
+    classes = [(np.array(at), np.frombuffer(b"".join(sketches[i] for i in at), dtype=np.uint8).reshape(len(at), -1)) for at in by_length.values()]
+    us, vs, more = [], [], False
+    for mine, a in classes:
+        # Sketches of sets whose sizes allow 0.8 differ in length by a factor of two at most.
+        others = [(at, b) for at, b in classes if b.shape[1] in (a.shape[1] // 2, a.shape[1], a.shape[1] * 2)]
+        at = np.concatenate([x for x, _ in others])
+        for start in range(0, len(mine), 64):
+            i = mine[start : start + 64]
+            difference = np.hstack([least_differences(a[start : start + 64], b) for _, b in others])
+            fine = (9 * difference <= n[i][:, None] + n[at][None, :]) & (comp[i][:, None] < comp[at][None, :])
+            fine &= 5 * np.minimum(n[i][:, None], n[at][None, :]) >= 4 * np.maximum(n[i][:, None], n[at][None, :])
+            x, y = np.nonzero(fine)
+            if not len(x):
+                continue
+            order = np.lexsort((sig[at[y]], difference[x, y], comp[at[y]], x))
+            x, y = x[order], y[order]
+            group = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (comp[at[y]][1:] != comp[at[y]][:-1])]))
+            place = np.arange(len(x)) - np.repeat(group, np.diff(np.append(group, len(x))))
+            keep = place < most
+            more |= not keep.all()
+            us.append(sig[i[x[keep]]])
+            vs.append(sig[at[y[keep]]])
+    return us, vs, more
+
+
+def _offer(most: int):
+    def run(batches):
+        """Rows (u, v, null) of candidates and (null, null, key) of shingles that hold back others, from (key, sig, n, comp, sketch)."""
+        held = [([batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)], batch.column(4).to_pylist()) for batch in batches]
+        if not held:
             return
-        i = i[near(n[i], n[i + step])]
-        yield from _pairs(sig[i], sig[i + step])
-
-
-def across(batches):
-    """Of each crowd (key, sig, n, component) the candidates of unlike components."""
-    held = [[batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)] for batch in batches]
-    if not held:
-        return
-    key, sig, n, comp = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((comp, key))
-    key, sig, n, comp = key[order], sig[order], n[order], comp[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    for s, e in zip(first, np.append(first[1:], len(key))):
-        if comp[s] == comp[e - 1]:
-            continue
-        for i in range(s, e):
-            rest = int(np.searchsorted(comp[s:e], comp[i], side="right")) + s
-            j = np.arange(rest, e)
-            j = j[near(n[i], n[j])]
-            yield from _pairs(np.full(len(j), sig[i]), sig[j])
-
-
-def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of the shingles' counts by slot of their low bits."""
-    bits = min(8192, max(64, 1 << max(0, len(shingles) - 1).bit_length()))
-    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
-
-
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference: each shingle in it flips one parity."""
-    x, y = (np.frombuffer(s, dtype=np.uint8) for s in (a, b))
-    while len(x) != len(y):
-        x, y = (x, y) if len(x) > len(y) else (y, x)
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def possible(batches):
-    """Pairs (u, v, nu, nv, su, sv) whose sketches allow 0.8, that is a difference of a ninth of both sizes."""
-    for batch in batches:
-        n, m, a, b = (batch.column(c).to_pylist() for c in range(2, 6))
-        keep = pa.array([9 * least_difference(s, t) <= x + y for x, y, s, t in zip(n, m, a, b)], pa.bool_())
-        yield batch.select(["u", "v"]).filter(keep)
-
-
-def _asked(sigs: DataFrame) -> np.ndarray:
-    """A bit map of fixed size of the nodes' upper bits."""
-    slot = F.shiftrightunsigned("sig", 64 - ASKED_BITS)
-    words = sigs.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (ASKED_BITS - 6), dtype=np.int64)
+        key, sig, n, comp = (np.concatenate(x) for x in zip(*(a for a, _ in held)))
+        sketches = [s for _, part in held for s in part]
+        order = np.lexsort((sig, key))
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])), len(key))
+        us, vs, back = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], []
+
+        def emit() -> pa.RecordBatch:
+            u, v = np.concatenate(us), np.concatenate(vs)
+            pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+            keys = pa.concat_arrays([pa.nulls(len(pair), pa.int64()), pa.array(back, pa.int64())])
+            nothing = pa.nulls(len(back), pa.int64())
+            out = pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(pair[:, 0]), nothing]), pa.concat_arrays([pa.array(pair[:, 1]), nothing]), keys], names=["u", "v", "key"])
+            us[1:], vs[1:], back[:] = [], [], []
+            return out
+
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            at = order[s:e]
+            if (comp[at] == comp[at[0]]).all():
+                continue
+            u, v, more = candidates(sig[at], n[at], comp[at], [sketches[i] for i in at], most if len(at) > CROWD else CROWD)
+            us += u
+            vs += v
+            if more:
+                back.append(key[at[0]])
+            if sum(map(len, us)) + len(back) > 100_000:
+                yield emit()
+        yield emit()
+
+    return run
+
+
+def _asked(ids: DataFrame) -> bytes:
+    """A bit map of fixed size of the documents' ids, by hash."""
+    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - ASKED_BITS)
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (ASKED_BITS - 6), dtype="<i8")
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+    return out.tobytes()
 
 
-def settled(docs: DataFrame, marked: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs of similarity 0.8 or more: first by sketches, then by whole sets of what is left."""
-    sketches = marked.select("fp", "n", "sketch").dropDuplicates(["fp"])
-    both = pairs
-    for x in "uv":
-        both = both.join(sketches.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
-    left = shared_checkpoint(both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(possible, "u long, v long"))
-    asked = _asked(left.select(F.explode(F.array("u", "v")).alias("sig")))
-
-    def whole(ids: list, texts: list) -> dict:
-        sets = {}
-        for s in shingle_sets(texts):
-            sig = node(s)
-            if asked[sig >> (64 - ASKED_BITS)]:
-                sets[sig] = s
-        flat = np.concatenate([np.zeros(0, dtype=np.uint64), *sets.values()]).view(np.int64)
-        ends = np.cumsum([0, *map(len, sets.values())]).astype(np.int32)
-        return {"sig": np.array(list(sets), dtype=np.uint64).view(np.int64), "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+def settled(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (u, v) of nodes whose whole sets have similarity 0.8 or more."""
+    pairs = shared_checkpoint(pairs.select("u", "v").where("u <> v").distinct())
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(_asked(wanted.join(nodes, "fp").select(F.col("least").alias("doc_id"))))
+    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - ASKED_BITS)
 
-    sets = map_docs(docs, whole, "sig long, shingles array<long>", id_col, text_col).dropDuplicates(["sig"])
+    def whole(batches):
+        asked = np.frombuffer(shared.value, dtype=np.uint8)
+        for batch in batches:
+            slots = batch.column(0).to_numpy(zero_copy_only=False)
+            chosen = batch.column(1).filter(pa.array((asked[slots >> 3] >> (slots & 7)) & 1 == 1))
+            for at in range(0, len(chosen), 256):
+                sets = shingle_sets([t or "" for t in chosen.slice(at, 256).to_pylist()])
+                flat = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                sig = np.array([node(s) for s in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["sig", "shingles"])
+
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select(slot.alias("slot"), "text").mapInArrow(whole, "sig long, shingles array<long>")
+    sets = read.join(wanted, F.col("sig") == F.col("fp"), "left_semi").dropDuplicates(["sig"])
     a, b = (sets.select(F.col("sig").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "uv")
-    exact = left.join(a, "u").join(b, "v").withColumn("k", F.size(F.array_intersect("u_set", "v_set")))
+    exact = pairs.join(a, "u").join(b, "v").withColumn("k", F.size(F.array_intersect("u_set", "v_set")))
     return shared_checkpoint(exact.where("5 * k >= 4 * (size(u_set) + size(v_set) - k)").select("u", "v"))
 
 
-def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(u, v): pairs of nodes of similarity 0.8 or more that connect all such pairs."""
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): nodes of one fingerprint, and those whose fingerprints the trie self-join links."""
+    heads = nodes.groupBy("sim").agg(F.min("fp").alias("head"))
+    same = nodes.join(heads, "sim").where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v"))
+    found = simhash.links(heads.select(F.col("sim").alias("fp")), BITS)
+    for x in "uv":
+        found = found.join(heads.select(F.col("sim").alias(x), F.col("head").alias(f"{x}_head")), x)
+    return same.unionByName(found.select(F.col("u_head").alias("u"), F.col("v_head").alias("v")))
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, sig, n): the rarest shingles of each set, of which two of similarity 0.8 share one."""
     level = rarity(docs, id_col, text_col)
-    width = shuffle_width(docs.sparkSession)
 
-    def prefixes(ids: list, texts: list) -> dict:
+    def per_batch(ids: list, texts: list) -> dict:
         keys, sigs, sizes = [np.zeros(0, dtype=np.uint64)], [], []
         seen = set()
         for s in shingle_sets(texts):
@@ -239,16 +295,31 @@ def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> Dat
             "n": np.repeat(np.array(sizes, dtype=np.int64), many),
         }
 
-    rows = map_docs(docs, prefixes, "key long, sig long, n long", id_col, text_col)
-    found = shared_checkpoint(rows.repartition(width, "key").mapInArrow(meet, "u long, v long, key long, n long"))
-    edges = settled(docs, marked, found.select("u", "v").where("u <> v").distinct(), id_col, text_col)
-    crowds = found.where("key is not null")
-    if crowds.isEmpty():
-        return edges
-    stars = connected_components(edges)
-    crowds = crowds.join(stars, crowds["u"] == stars["node"], "left").select("key", F.col("u").alias("sig"), "n", F.coalesce("component", "u").alias("component"))
-    more = crowds.repartition(width, "key").mapInArrow(across, "u long, v long, key long, n long")
-    return edges.unionByName(settled(docs, marked, more.select("u", "v").distinct(), id_col, text_col))
+    return map_docs(docs, per_batch, "key long, sig long, n long", id_col, text_col)
+
+
+def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(u, v): nodes connected just as all pairs of similarity 0.8 or more connect them."""
+    width = shuffle_width(docs.sparkSession)
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("sim", "sketch")).alias("s")).select("fp", "least", "s.sim", "s.sketch")
+    nodes = shared_checkpoint(nodes)
+    edges = settled(docs, nodes, simhash_pairs(nodes), id_col, text_col)
+    rows = prefixes(docs, id_col, text_col).repartition(width, "key").mapInArrow(meet, "key long, sig long, n long")
+    met = shared_checkpoint(rows)
+    most = 1
+    while True:
+        stars = connected_components(edges)
+        placed = met.join(stars, met["sig"] == stars["node"], "left").select("key", "sig", "n", F.coalesce("component", "sig").alias("comp"))
+        apart = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+        placed = placed.join(apart, "key", "left_semi").join(nodes.select(F.col("fp").alias("sig"), "sketch"), "sig")
+        found = shared_checkpoint(placed.select("key", "sig", "n", "comp", "sketch").repartition(width, "key").mapInArrow(_offer(most), "u long, v long, key long"))
+        stars = stars.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        edges = stars.unionByName(settled(docs, nodes, found.where("key IS NULL"), id_col, text_col))
+        back = found.where("key IS NOT NULL").select("key")
+        if back.isEmpty():
+            return edges
+        met = met.join(back, "key", "left_semi")
+        most *= 4
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +327,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def per_batch(ids: list, texts: list) -> dict:
         sets = shingle_sets(texts)
-        return {"doc_id": ids, "fp": np.array([node(s) for s in sets], dtype=np.uint64).view(np.int64), "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets]}
+        return {
+            "doc_id": ids, "fp": np.array([node(s) for s in sets], dtype=np.uint64).view(np.int64),
+            "sim": np.array([simhash.majority(s) for s in sets], dtype=np.uint64).view(np.int64), "sketch": [sketch(s) for s in sets],
+        }
 
-    marked = shared_checkpoint(map_docs(docs, per_batch, "doc_id long, fp long, n long, sketch binary", id_col, text_col))
-    return component_ids(marked, links(docs, marked, id_col, text_col))
+    marked = shared_checkpoint(map_docs(docs, per_batch, "doc_id long, fp long, sim long, sketch binary", id_col, text_col))
+    return simhash.component_ids(marked, links(docs, marked, id_col, text_col))

@@ -7,7 +7,7 @@ Self-join: only distinct fingerprints take part. The 64 bits are cut into four
 blocks of 16; two fingerprints with at most 2 differing bits agree in at least
 two whole blocks, so each of the six pairs of blocks gives one arrangement of
 the bits with that pair in front, and the front 32 bits are the shuffle key
-(six short rows a fingerprint). Within a task the arranged values are sorted,
+(six short rows a fingerprint; another budget takes two blocks more than it has bits). Within a task the arranged values are sorted,
 which lays out their binary trie as ranges: a node is a range of equal leading
 bits. The self-join starts from the nodes below each key, paired with
 themselves, and goes down all node pairs of a level together: children on the
@@ -15,9 +15,8 @@ same bit keep their differing bits, children on unlike bits add one, and a
 pair beyond the budget is pruned with all below it. Pairs of single leaves are
 settled by a popcount at once.
 
-The links that a task finds are joined to trees in place (union-find) and only
-the edges to the least member leave it: at most one row for each row read, and
-connectivity is whole. Components of the remaining graph are found by star
+Of the links that a task finds only a spanning forest leaves it: less than one
+row for each row read, and connectivity is whole. Components of the remaining graph are found by star
 contraction (``common.connected_components``).
 
 Scale: text never leaves its map; what is shuffled is 16 to 24 bytes a
@@ -47,9 +46,10 @@ from .common import ASCII_LOWER, connected_components, map_docs, shared_checkpoi
 BITS = 2
 SHINGLE = 3
 SEED = 42
+#: Ids that are broadcast at most: 8 bytes each, some 64 MB in a hash table.
+MAX_SENT = 2_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
-_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 
 
 def shingles(text: str, n: int = SHINGLE) -> list[str]:
@@ -63,26 +63,37 @@ def shingles(text: str, n: int = SHINGLE) -> list[str]:
 
 def fingerprints(texts: list[str]) -> np.ndarray:
     """uint64 fingerprint of each text."""
-    out = np.zeros(len(texts), dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
-    for i, text in enumerate(texts):
-        h = np.array([digest(s, SEED) for s in shingles(text)], dtype=np.uint64)
-        if not len(h):
-            continue
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(h), 65536):
-            part = h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-        out[i] = int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
-    return out
+    return np.array([majority(np.array([digest(s, SEED) for s in shingles(text)], dtype=np.uint64)) for text in texts], dtype=np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the uint64 hashes; zero for none."""
+    if not len(h):
+        return 0
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 65536):
+        part = h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+
+
+def arrangements(budget: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each pair of ``budget`` + 2 blocks of bits: the blocks (place of the low bit, width)
+    with that pair in front, and the width of the pair. Fingerprints within the budget agree
+    in at least one pair.
+    """
+    n = budget + 2
+    width = [64 // n + (b < 64 % n) for b in range(n)]
+    blocks = [(sum(width[:b]), width[b]) for b in range(n)]
+    return [([blocks[a], blocks[b], *(x for i, x in enumerate(blocks) if i not in (a, b))], width[a] + width[b]) for a in range(n) for b in range(a + 1, n)]
 
 
-def arrange(fp: np.ndarray, pair: tuple[int, int]) -> np.ndarray:
-    """Bits of the two blocks in front, then the other two; blocks are numbered from the low end."""
-    rest = [b for b in range(4) if b not in pair]
+def arrange(fp: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """The bits of fp with the blocks in this order, the first in front."""
     out = np.zeros_like(fp)
-    for place, b in zip((48, 32, 16, 0), (*pair, *rest)):
-        out |= ((fp >> np.uint64(16 * b)) & np.uint64(0xFFFF)) << np.uint64(place)
+    for low, width in blocks:
+        out = (out << np.uint64(width)) | ((fp >> np.uint64(low)) & np.uint64((1 << width) - 1))
     return out
 
 
@@ -135,15 +146,18 @@ def trie_self_join(leaves: np.ndarray, shared: int, budget: int = BITS) -> tuple
     return np.minimum(i, j), np.maximum(i, j)
 
 
-def least_members(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least member of each node's component, by hooking and pointer jumping."""
-    root = np.arange(n)
+def spanning_forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of pairs (i, j) that connect what all pairs connect: every root is hooked once a round, by one pair."""
+    root, used = np.arange(n), []
     while True:
         a, b = root[i], root[j]
-        apart = a != b
-        if not apart.any():
-            return root
-        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        at = np.flatnonzero(a != b)
+        if not len(at):
+            return np.concatenate(used) if used else at
+        high, low = np.maximum(a, b)[at], np.minimum(a, b)[at]
+        high, first = np.unique(high, return_index=True)
+        root[high] = low[first]
+        used.append(at[first])
         while (nxt := root[root]).tobytes() != root.tobytes():
             root = nxt
 
@@ -152,36 +166,36 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(u, v): a spanning forest, by task, of the links between distinct fingerprints ``fp``."""
+def links(distinct: DataFrame, budget: int = BITS) -> DataFrame:
+    """(u, v): by task, linked pairs of distinct fingerprints ``fp`` that connect all its linked pairs."""
+    kinds = arrangements(budget)
 
     def spread(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, pair in enumerate(_PAIRS):
-                moved = arrange(fp, pair)
-                key = (moved >> np.uint64(32)).astype(np.int64) * len(_PAIRS) + k
+            for k, (blocks, front) in enumerate(kinds):
+                moved = arrange(fp, blocks)
+                key = (moved >> np.uint64(64 - front)).astype(np.int64) * len(kinds) + k
                 yield pa.RecordBatch.from_arrays([pa.array(key), _signed(moved), _signed(fp)], names=["key", "moved", "fp"])
 
     def join(batches):
-        kinds: list[list] = [[] for _ in _PAIRS]
+        held: list[list] = [[] for _ in kinds]
         for batch in batches:
             key, moved, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            for k in range(len(_PAIRS)):
-                own = key % len(_PAIRS) == k
-                kinds[k].append((moved[own].view(np.uint64), fp[own]))
-        for parts in kinds:
+            for k in range(len(kinds)):
+                own = key % len(kinds) == k
+                held[k].append((moved[own].view(np.uint64), fp[own]))
+        for (_, front), parts in zip(kinds, held):
             if not parts:
                 continue
             moved, fp = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(moved)
             moved, fp = moved[order], fp[order]
-            i, j = trie_self_join(moved, 32)
-            root = least_members(len(moved), i, j)
-            child = np.flatnonzero(root != np.arange(len(root)))
-            for at in range(0, len(child), 100_000):
-                c = child[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(fp[c]), pa.array(fp[root[c]])], names=["u", "v"])
+            i, j = trie_self_join(moved, front, budget)
+            tree = spanning_forest(len(moved), i, j)
+            for at in range(0, len(tree), 100_000):
+                t = tree[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(fp[i[t]]), pa.array(fp[j[t]])], names=["u", "v"])
 
     moved = distinct.select("fp").mapInArrow(spread, "key long, moved long, fp long")
     return moved.repartition(shuffle_width(distinct.sparkSession), "key").mapInArrow(join, "u long, v long")
@@ -211,10 +225,13 @@ def component_ids(marked: DataFrame, edges: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", grouped: Callable[..., DataFrame] = components) -> DataFrame:
     """docs with one document of each component, the one of the smallest id; columns unchanged.
 
-    ``grouped`` finds the components. Rows that repeat the kept id stay; rows without an id stay.
+    ``grouped`` finds the components. Rows that repeat the kept id stay; rows without an id stay. Up to ``MAX_SENT`` ids that go, counted first, are
+    sent to the texts; more ids and the texts meet by a shuffle of both.
     """
-    found = grouped(docs, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__simhash_gone")).distinct()
-    return docs.join(found, docs[id_col] == found["__simhash_gone"], "left_anti")
+    gone = grouped(docs, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__simhash_gone")).distinct()
+    gone = shared_checkpoint(gone)
+    gone = gone.hint("broadcast" if gone.count() <= MAX_SENT else "shuffle_hash")
+    return docs.join(gone, docs[id_col] == gone["__simhash_gone"], "left_anti")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

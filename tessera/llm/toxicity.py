@@ -8,17 +8,21 @@ is computed in time linear in the terms.
 
 Training: on the driver, by AdaGrad in numpy, on at most ``SAMPLE_ROWS``
 labelled training rows (those with the least hash of the id), of which only the
-hashed terms are collected. A term takes part if it stands in ``MIN_DOCS`` sampled
-documents or more and is commoner in toxic ones by ``MIN_Z`` standard errors, so
-odd words of a few documents cannot decide; a pair that acts together shows in
-both its terms. Toxic rows weigh ``TOXIC_WEIGHT`` times, as they are few.
+hashed terms are collected. Odd words of a few documents cannot decide: a term takes part
+if it stands in ``MIN_DOCS`` sampled documents or more and is commoner or rarer in
+toxic ones by ``MIN_Z`` standard errors, either in all sampled documents or in those
+that hold one of the commoner terms. The second test admits what says nothing on its own,
+such as a group mention that is toxic beside an insult only. Toxic rows weigh
+``TOXIC_WEIGHT`` times, as they are few.
 
 Scoring: a narrow map over all texts; the model is a dictionary of at most a
 few ten thousand hashed terms.
 
-Defined results: null is an empty text and scores the bias; a null doc_id is
-held out; rows that repeat a doc_id are scored one by one and its label is the
-greatest given; without labelled rows every score is 0.
+Defined results: null is an empty text and scores the bias, as does a text without known
+terms; a null doc_id is held out; rows that repeat a doc_id are scored one by one, of
+its rows one text is learnt from and its label is the greatest given; without labelled
+rows every score is 0; an empty table gives no rows; very long texts are scored whole; further
+columns are not read, whatever their names, and stay in ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -74,22 +78,35 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _selected(features: list[np.ndarray], labels: list[int]) -> np.ndarray:
-    rate = min(max(sum(labels) / len(labels), 1e-9), 1 - 1e-9)
-    flat = np.concatenate(features)
-    names, at = np.unique(flat, return_inverse=True)
-    n = np.bincount(at, minlength=len(names))
-    k = np.bincount(at, np.repeat(np.array(labels, dtype=float), [len(f) for f in features]), len(names))
-    return names[(n >= MIN_DOCS) & (k - n * rate >= MIN_Z * np.sqrt(n * rate * (1 - rate)))]
+def _apart(features: list[np.ndarray], labels: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each hashed term its documents, and by how many standard errors it is commoner in toxic ones."""
+    n, k = np.zeros(dims), np.zeros(dims)
+    for f, label in zip(features, labels):  # a document holds a term once
+        n[f] += 1
+        if label:
+            k[f] += 1
+    rate = min(max(labels.mean(), 1e-9), 1 - 1e-9) if len(labels) else 0.5
+    return n, (k - n * rate) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate))
+
+
+def _selected(features: list[np.ndarray], labels: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    n, z = _apart(features, labels, dims)
+    known = (n >= MIN_DOCS) & (np.abs(z) >= MIN_Z)
+    worse = known & (z > 0)
+    beside = np.array([bool(worse[f].any()) for f in features], dtype=bool)
+    n, z = _apart([f for f, b in zip(features, beside) if b], labels[beside], dims)
+    return np.flatnonzero(known | (n >= MIN_DOCS) & (np.abs(z) >= MIN_Z))
 
 
 def fit(features: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, rank: int = RANK, seed: int = 7) -> Machine:
-    """Weights from hashed terms and labels; ``features`` is emptied once it is indexed, as it may be large."""
+    """Weights from hashed terms (each once a document) and labels; ``features`` is emptied once it is indexed, as it may be large."""
     if not labels:
         return Machine(-np.inf, {}, np.zeros(0), np.zeros((0, rank)))
-    names = _selected(features, labels)
+    names = _selected(features, np.array(labels) > 0)
     at = {int(x): i for i, x in enumerate(names)}
-    rows = [np.searchsorted(names, f[np.isin(f, names)]).astype(np.int32) for f in features]
+    place = np.full(DIMS, -1, dtype=np.int32)
+    place[names] = np.arange(len(names))
+    rows = [p[p >= 0] for p in (place[f] for f in features)]
     features.clear()
     y = np.array(labels, dtype=float)
     rng = np.random.default_rng(seed)
@@ -126,23 +143,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0; ``docs`` needs doc_id and text, ``labels`` doc_id and toxic."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    label = {r["doc_id"]: int(r["toxic"]) for r in picked.collect()}
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(label)))
+    picked = F.broadcast(picked.select("doc_id", F.col("toxic").cast("int").alias("toxic")))  # sample_rows ids
+    texts = docs.select("doc_id", "text").join(picked.select("doc_id"), "doc_id", "left_semi")
 
     def per_batch(ids: list, batch: list) -> dict:
         return {"doc_id": ids, "terms": [np.array(sorted({hashed(t) for t in terms(text)}), dtype="<i4").tobytes() for text in batch]}
 
     # Packed, as the driver holds them all; one row an id, so that repeated rows cannot pass the bound.
-    rows = map_docs(texts, per_batch, "doc_id long, terms binary").groupBy("doc_id").agg(F.min("terms").alias("terms")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    toxic = [label[r["doc_id"]] for r in rows]
-    features = [np.frombuffer(r["terms"], dtype="<i4") for r in rows]
-    del rows
-    return fit(features, toxic)
+    rows = map_docs(texts, per_batch, "doc_id long, terms binary").groupBy("doc_id").agg(F.min("terms").alias("terms"))
+    found = rows.join(picked, "doc_id").select("doc_id", "toxic", "terms").toArrow().sort_by("doc_id")
+    return fit([np.frombuffer(t.as_buffer(), dtype="<i4") for t in found["terms"]], found["toxic"].to_pylist())
 
 
 def score_texts(texts: list[str], machine: Machine, cache: dict[str, int]) -> list[float]:
-    if len(cache) > 500_000:
+    if len(cache) > 200_000:
         cache.clear()
     out = []
     for text in texts:

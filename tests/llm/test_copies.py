@@ -72,21 +72,34 @@ def test_simhash_rows(make_docs, awkward):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=20), st.lists(st.tuples(st.integers(0, 63), st.integers(0, 63)), max_size=30))
-def test_trie_join(base, flips):
-    fp = np.unique(np.array([*base, *[base[i % len(base)] ^ (1 << a) ^ (1 << b) for i, (a, b) in enumerate(flips)]], dtype=np.uint64))
-    want = {(int(x), int(y)) for x in fp for y in fp if x < y and (int(x) ^ int(y)).bit_count() <= 2}
-    i, j = simhash.trie_self_join(fp, 0)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=20), st.lists(st.tuples(st.integers(0, 63), st.integers(0, 63), st.integers(0, 63)), max_size=30), st.integers(2, 4))
+def test_trie_join(base, flips, budget):
+    fp = np.unique(np.array([*base, *[base[i % len(base)] ^ (1 << a) ^ (1 << b) ^ (1 << c) for i, (a, b, c) in enumerate(flips)]], dtype=np.uint64))
+    want = {(int(x), int(y)) for x in fp for y in fp if x < y and (int(x) ^ int(y)).bit_count() <= budget}
+    i, j = simhash.trie_self_join(fp, 0, budget)
     assert {(int(fp[a]), int(fp[b])) for a, b in zip(i, j)} == want and len(i) == len(want)
+    tree = simhash.spanning_forest(len(fp), i, j)
+    ids = list(range(len(fp)))
+    assert len(set(tree.tolist())) == len(tree) and plain_joined(ids, zip(i, j)) == plain_joined(ids, zip(i[tree], j[tree]))
     found = set()
-    for pair in simhash._PAIRS:
-        moved = simhash.arrange(fp, pair)
+    for blocks, front in simhash.arrangements(budget):
+        moved = simhash.arrange(fp, blocks)
+        assert len(np.unique(moved)) == len(fp)
         order = np.argsort(moved)
-        i, j = simhash.trie_self_join(moved[order], 32)
+        i, j = simhash.trie_self_join(moved[order], front, budget)
         found |= {tuple(sorted((int(fp[order][a]), int(fp[order][b])))) for a, b in zip(i, j)}
     assert found == want
 
 
+def plain_joined(ids, pairs):
+    """The least member of each id's component."""
+    root = dict(zip(ids, ids))
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if r in (x, y) else r for k, r in root.items()}
+    return root
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (5, 5)]
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

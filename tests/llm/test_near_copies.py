@@ -84,8 +84,38 @@ def test_common_shingles_do_not_lose_pairs(spark, make_docs, monkeypatch):
 
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(2)
+    rows = lambda x: np.frombuffer(near_copies.sketch(x), dtype=np.uint8)[None, :]
     for n, m, k in [(1, 1, 0), (60, 70, 58), (500, 620, 490), (3000, 9000, 2500)]:
         x = rng.integers(0, 2**63, n + m - k, dtype=np.uint64)
         a, b = x[:n], x[n - k :]
-        assert 0 < near_copies.least_difference(near_copies.sketch(a), near_copies.sketch(b)) <= n + m - 2 * k
-        assert near_copies.least_difference(near_copies.sketch(a), near_copies.sketch(a)) == 0
+        assert 0 < near_copies.least_differences(rows(a), rows(b))[0, 0] <= n + m - 2 * k
+        assert near_copies.least_differences(rows(a), rows(a))[0, 0] == 0
+
+
+def test_links_outside_the_largest_component(spark, make_docs):
+    """Members that only some of a crowd are near to: nearest sketches first, all in the end."""
+    r = random.Random(9)
+    t = [f"c{k}" for k in range(150)]
+    rows = [(k, edited(r, t, r.choice([1, 2, 3, 4, 5]))) for k in range(150)]
+    kept = corpus_pipeline.drop_near_copies(spark, make_docs(rows), "")
+    want = plain_kept(rows)
+    assert 1 < len(want) < 100
+    assert sorted(str(x["doc_id"]) for x in kept.collect()) == want
+
+
+def test_candidates_are_all_offered_in_the_end():
+    """Of one shingle's nodes each pair that may be near comes out once ``most`` is large enough."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 260, 150, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(60)]
+    base = sets[0]
+    sets += [np.unique(np.concatenate([base[k:], sets[k + 1][:k]])) for k in range(1, 40)]
+    n = np.array([len(s) for s in sets])
+    sig, comp = np.arange(len(sets)), rng.integers(0, 7, len(sets))
+    us, vs, more = near_copies.candidates(sig, n, comp, [near_copies.sketch(s) for s in sets], 1000)
+    found = {(min(u, v), max(u, v)) for u, v in zip(np.concatenate(us).tolist(), np.concatenate(vs).tolist())}
+    assert not more and near_copies.candidates(sig, n, comp, [near_copies.sketch(s) for s in sets], 1)[2]
+    for i in range(len(sets)):
+        for j in range(i):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            if 5 * k >= 4 * (n[i] + n[j] - k) and comp[i] != comp[j]:
+                assert (j, i) in found
