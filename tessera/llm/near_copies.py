@@ -30,6 +30,8 @@ Defined results are those of ``simhash``: null, empty or blank texts are one nod
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,32 +46,77 @@ BITS = 3
 SLOTS = 1 << 18
 CROWD = 16
 ASKED_BITS = 24
-#: Words whose hashes a worker keeps.
-CACHE = 100_000
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 18
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _SLICES = 16
 _SHIFT = np.uint64(64 - 18)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, 23)
-        return h
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX
+    return x ^ (x >> np.uint64(31))
+
+
+#: One number for each byte; powers of an odd number and of its inverse modulo 2^64, as far as a piece of text needs.
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_ODD = 0xD1342543DE82EF95
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_powers = [np.ones(1, dtype=np.uint64)] * 2
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, uint64 hash) of the words of UTF-8 text in lower case: differences of one running polynomial."""
+    if len(data) >= len(_powers[0]):
+        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            x = np.full(max(1 << 20, len(data)) + 1, base, dtype=np.uint64)
+            x[0] = 1
+            _powers[k] = np.cumprod(x)
+    raw = np.frombuffer(data, dtype=np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[raw], [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[raw] * _powers[0][: len(raw)])])
+    return start, _mixed((run[end] - run[start]) * _powers[1][start])
+
+
+def _pieces(texts: list[bytes]):
+    """(numbers of texts, their starts, data): texts joined by line ends to pieces of about ``PIECE`` bytes; longer ones are cut at white space."""
+    at, starts, parts, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        while len(text) > PIECE and (cut := _GAP.search(text, PIECE)):
+            yield [i], [0], text[: cut.start()]
+            text = text[cut.start() :]
+        at.append(i)
+        starts.append(size)
+        parts.append(text)
+        size += len(text) + 1
+        if size > PIECE:
+            yield at, starts, b"\n".join(parts)
+            at, starts, parts, size = [], [], [], 0
+    if at:
+        yield at, starts, b"\n".join(parts)
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct uint64 hashes of each text's shingles."""
-    of, out = _Hashes(), []
-    for text in texts:
-        # on UTF-8 bytes lower() changes A-Z only and split() knows just the six white-space bytes
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if len(of) > CACHE:
-            of = _Hashes()
-        w = np.fromiter(map(of.__getitem__, words), dtype=np.uint64, count=len(words))
+    words: list[list[np.ndarray]] = [[] for _ in texts]
+    # on UTF-8 bytes lower() changes A-Z only
+    for at, starts, data in _pieces([t.encode("utf-8", "surrogatepass").lower() for t in texts]):
+        start, h = word_hashes(data)
+        cuts = [*np.searchsorted(start, starts), len(h)]
+        for i, s, e in zip(at, cuts[:-1], cuts[1:]):
+            words[i].append(h[s:e])
+    out = []
+    for parts in words:
+        w = parts[0] if len(parts) == 1 else np.concatenate(parts)
         n = min(len(w), SHINGLE)
         if n:
             h = np.full(len(w) - n + 1, n, dtype=np.uint64)
             for k in range(n):
-                h = (h ^ w[k : len(w) - n + 1 + k]) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ w[k : len(w) - n + 1 + k]) * _MIX
                 h ^= h >> np.uint64(31)
             w = np.unique(h * np.uint64(0x94D049BB133111EB))
         out.append(w)
@@ -84,19 +131,35 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
-def rarity(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """uint8 for each slot of shingles: eight times the logarithm of its count."""
+def marked_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, sim, sketch) of each document, and (slice, counts): its task's counts of shingles by slot."""
     size = SLOTS // _SLICES
 
-    def count(batches):
+    def run(batches):
         total = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                for s in shingle_sets([text.as_py() or ""]):
-                    np.add.at(total, s >> _SHIFT, 1)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = shingle_sets([t or "" for t in part.column(1).to_pylist()])
+                total += np.bincount((np.concatenate(sets) >> _SHIFT).astype(np.int64), minlength=SLOTS)
+                fp, sim = (np.array([f(s) for s in sets], dtype=np.uint64).view(np.int64) for f in (node, simhash.majority))
+                yield out(part.column(0), pa.array(fp), pa.array(sim), pa.array([sketch(s) for s in sets], pa.binary()), None, None)
         if total.any():
-            parts = pa.array([total[k * size : (k + 1) * size].tobytes() for k in range(_SLICES)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), parts], names=["slice", "n"])
+            counts = [total[k * size : (k + 1) * size].tobytes() for k in range(_SLICES)]
+            yield out(*[None] * 4, pa.array(range(_SLICES), pa.int32()), pa.array(counts, pa.binary()))
+
+    def out(*columns):
+        n = next(len(c) for c in columns if c is not None)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else c for c, k in zip(columns, kinds)], names=["doc_id", "fp", "sim", "sketch", "slice", "counts"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, "doc_id long, fp long, sim long, sketch binary, slice int, counts binary")
+
+
+def rarity(counts: DataFrame) -> np.ndarray:
+    """uint8 for each slot of shingles: eight times the logarithm of its count, from (slice, counts)."""
+    size = SLOTS // _SLICES
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -107,7 +170,6 @@ def rarity(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
             level = np.minimum(255, 8 * np.log2(1 + x)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "level"])
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "slice int, n binary")
     out = np.zeros(SLOTS, dtype=np.uint8)
     for r in counts.repartition(_SLICES, "slice").mapInArrow(add, "slice int, level binary").collect():  # 256 KB in all
         out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["level"], dtype=np.uint8)
@@ -121,6 +183,17 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def least_difference(a: bytes, b: bytes) -> int:
+    """``least_differences`` of two sketches."""
+    x, y = int.from_bytes(a, "big"), int.from_bytes(b, "big")
+    wide, bits = (x, len(a) * 8) if len(a) > len(b) else (y, len(b) * 8)
+    small = y if len(a) > len(b) else x
+    while bits > 8 * min(len(a), len(b)):
+        bits //= 2
+        wide = (wide >> bits) ^ (wide & ((1 << bits) - 1))
+    return (wide ^ small).bit_count()
+
+
 def least_differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of sketches, as rows of bytes, [i, j] a lower bound of the symmetric difference: each shingle in it flips one parity."""
     while a.shape[1] != b.shape[1]:
@@ -192,6 +265,25 @@ def candidates(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[
     return us, vs, more
 
 
+def _few(key: np.ndarray, sig: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[bytes]):
+    """Of rows in order of their keys, at most ``CROWD`` of each, all pairs of unlike components that may have similarity 0.8."""
+    seen = np.zeros((0, 2), dtype=np.int64)
+    place = {x: i for i, x in enumerate(sig.tolist())}  # equal nodes have equal sketches
+    first = np.array([place[x] for x in sig.tolist()], dtype=np.int64)
+    for step in range(1, CROWD):
+        i = np.flatnonzero(key[step:] == key[:-step]) if len(key) > step else np.zeros(0, dtype=np.int64)
+        if not len(i):
+            break
+        j = i + step
+        i, j = (x[(comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))] for x in (i, j))
+        pair = np.stack([np.minimum(first[i], first[j]), np.maximum(first[i], first[j])], 1)
+        seen = np.unique(np.concatenate([seen, pair]), axis=0)
+    for at in range(0, len(seen), 100_000):
+        i, j = seen[at : at + 100_000].T
+        near = np.fromiter((9 * least_difference(sketches[x], sketches[y]) <= m for x, y, m in zip(i.tolist(), j.tolist(), (n[i] + n[j]).tolist())), dtype=bool, count=len(i))
+        yield sig[i[near]], sig[j[near]]
+
+
 def _offer(most: int):
     def run(batches):
         """Rows (u, v, null) of candidates and (null, null, key) of shingles that hold back others, from (key, sig, n, comp, sketch)."""
@@ -213,11 +305,17 @@ def _offer(most: int):
             us[1:], vs[1:], back[:] = [], [], []
             return out
 
-        for s, e in zip(cuts[:-1], cuts[1:]):
+        large = np.diff(cuts) > CROWD
+        few = order[np.repeat(~large, np.diff(cuts))]
+        for u, v in _few(key[few], sig[few], n[few], comp[few], [sketches[i] for i in few]):
+            us.append(u)
+            vs.append(v)
+            yield emit()
+        for s, e in zip(cuts[:-1][large], cuts[1:][large]):
             at = order[s:e]
             if (comp[at] == comp[at[0]]).all():
                 continue
-            u, v, more = candidates(sig[at], n[at], comp[at], [sketches[i] for i in at], most if len(at) > CROWD else CROWD)
+            u, v, more = candidates(sig[at], n[at], comp[at], [sketches[i] for i in at], most)
             us += u
             vs += v
             if more:
@@ -274,9 +372,8 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
     return same.unionByName(found.select(F.col("u_head").alias("u"), F.col("v_head").alias("v")))
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def prefixes(docs: DataFrame, level: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """(key, sig, n): the rarest shingles of each set, of which two of similarity 0.8 share one."""
-    level = rarity(docs, id_col, text_col)
 
     def per_batch(ids: list, texts: list) -> dict:
         keys, sigs, sizes = [np.zeros(0, dtype=np.uint64)], [], []
@@ -298,13 +395,13 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_docs(docs, per_batch, "key long, sig long, n long", id_col, text_col)
 
 
-def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def links(docs: DataFrame, marked: DataFrame, level: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """(u, v): nodes connected just as all pairs of similarity 0.8 or more connect them."""
     width = shuffle_width(docs.sparkSession)
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("sim", "sketch")).alias("s")).select("fp", "least", "s.sim", "s.sketch")
     nodes = shared_checkpoint(nodes)
     edges = settled(docs, nodes, simhash_pairs(nodes), id_col, text_col)
-    rows = prefixes(docs, id_col, text_col).repartition(width, "key").mapInArrow(meet, "key long, sig long, n long")
+    rows = prefixes(docs, level, id_col, text_col).repartition(width, "key").mapInArrow(meet, "key long, sig long, n long")
     met = shared_checkpoint(rows)
     most = 1
     while True:
@@ -324,13 +421,7 @@ def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> Dat
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id); fp is the node."""
-
-    def per_batch(ids: list, texts: list) -> dict:
-        sets = shingle_sets(texts)
-        return {
-            "doc_id": ids, "fp": np.array([node(s) for s in sets], dtype=np.uint64).view(np.int64),
-            "sim": np.array([simhash.majority(s) for s in sets], dtype=np.uint64).view(np.int64), "sketch": [sketch(s) for s in sets],
-        }
-
-    marked = shared_checkpoint(map_docs(docs, per_batch, "doc_id long, fp long, sim long, sketch binary", id_col, text_col))
-    return simhash.component_ids(marked, links(docs, marked, id_col, text_col))
+    found = shared_checkpoint(marked_documents(docs, id_col, text_col))
+    level = rarity(found.where("slice IS NOT NULL").select("slice", "counts"))
+    marked = found.where("slice IS NULL").select("doc_id", "fp", "sim", "sketch")
+    return simhash.component_ids(marked, links(docs, marked, level, id_col, text_col))

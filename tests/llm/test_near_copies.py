@@ -76,12 +76,22 @@ def test_chain_in_a_crowd(spark, make_docs):
 def test_common_shingles_do_not_lose_pairs(spark, make_docs, monkeypatch):
     """The order by rarity is for the work only."""
     rows = corpus()
-    monkeypatch.setattr(near_copies, "rarity", lambda *a: np.random.default_rng(1).integers(0, 255, near_copies.SLOTS).astype(np.uint8))
+    monkeypatch.setattr(near_copies, "rarity", lambda counts: np.random.default_rng(1).integers(0, 255, near_copies.SLOTS).astype(np.uint8))
     monkeypatch.setattr(near_copies, "CROWD", 3)
     kept = corpus_pipeline.drop_near_copies(spark, make_docs(rows), "")
     assert sorted(str(x["doc_id"]) for x in kept.select(F.col("doc_id")).collect()) == plain_kept(rows)
 
 
+def test_shingles_of_long_texts(monkeypatch):
+    """Texts are hashed in pieces; sets are equal just where the plain ones are."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["a", "B", "b", "éa", "\t", "long" * 9, "x" * 40]) for _ in range(n)) for n in (0, 1, 3, 5, 6, 40, 400, 3000)] + ["", " \n", "y" * 500, " a  b "]
+    whole = near_copies.shingle_sets(texts)
+    monkeypatch.setattr(near_copies, "PIECE", 64)
+    for t, x, y in zip(texts, whole, near_copies.shingle_sets(texts)):
+        assert x.tolist() == y.tolist() and len(x) == len(plain_set(t))
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(2)
     rows = lambda x: np.frombuffer(near_copies.sketch(x), dtype=np.uint8)[None, :]
@@ -90,6 +100,7 @@ def test_sketch_bounds_the_difference():
         a, b = x[:n], x[n - k :]
         assert 0 < near_copies.least_differences(rows(a), rows(b))[0, 0] <= n + m - 2 * k
         assert near_copies.least_differences(rows(a), rows(a))[0, 0] == 0
+        assert near_copies.least_difference(near_copies.sketch(a), near_copies.sketch(b)) == near_copies.least_differences(rows(a), rows(b))[0, 0]
 
 
 def test_links_outside_the_largest_component(spark, make_docs):
