@@ -16,8 +16,8 @@ by hash, whatever the corpus. It decides the work only, never the result.
 Of nodes that meet, pairs of one component need no further look; others are candidates
 if their sizes and their sketches allow 0.8, bounds that never drop a pair of
 that similarity. Where more than ``CROWD`` nodes meet, a node first offers the candidate of
-the nearest sketch in each other component, then, while they stay apart, four times
-as many in each round, until none is held back. So no link that could connect two
+the nearest sketch in each other component, then, while they stay apart, sixteen
+times as many in each round, until none is held back. So no link that could connect two
 components is left out, and a group whose members are one component costs its size alone.
 What stays apart inside a crowd is compared by sketches in one task: the number
 of those nodes times the crowd's.
@@ -416,7 +416,7 @@ def links(docs: DataFrame, marked: DataFrame, level: np.ndarray, id_col: str, te
         if back.isEmpty():
             return edges
         met = met.join(back, "key", "left_semi")
-        most *= 4
+        most *= 16
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,8 +14,8 @@ window meet in the shard of the anchor's hash:
    context that occurs again within the task sends only its first occurrence;
    the others are copies and go as they stand, so hot passages are
    pre-aggregated before the shuffle.
-2. In a shard, anchors that occur once end here. Of equal contexts (128-bit
-   hash) the earliest stays and the others are copies. Where different
+2. In a shard, anchors that occur once end here. Of equal contexts (a hash of 48 and one of 64
+   bits) the earliest stays and the others are copies. Where different
    contexts share an anchor, their bytes are asked for; an anchor with many of
    them is split by the bytes beside its gram, so it fills no task.
 3. A join by document brings the bytes; the contexts go to the shards again.
@@ -33,10 +33,13 @@ window meet in the shard of the anchor's hash:
 Induction passes over a byte alphabet go bucket by bucket in arrays; deeper
 levels, whose alphabets are large, run item by item.
 
-Defined results: null is an empty text; rows that share a doc_id count as
-one document (a repeated row is no copy of itself, and both get the same
-result); null ids sort first, as one id; texts below ``LENGTH`` bytes lose
-nothing; unpaired surrogates cannot occur in a Spark string.
+Defined results: null is an empty text; equal rows count as one document (a repeated row
+is no copy of itself, and both get the same result); rows of one doc_id and unlike
+texts are documents of their own, in order of the texts' hashes; null ids sort first, in
+that order too; among equal strings the earliest stays, so there are no ties; texts below
+``LENGTH`` bytes lose nothing and very long ones are whole; an empty table gives no rows;
+further columns are not read, whatever their names; unpaired surrogates
+cannot occur in a Spark string.
 """
 
 from __future__ import annotations
@@ -49,6 +52,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -421,7 +425,7 @@ def _anchor_rows(docs: DataFrame, n_shards: int) -> DataFrame:
         def chunk(ids: list, texts: list[bytes]):
             doc, place, left, right, h, context = document_anchors(texts)
             rec = np.empty(len(doc), dtype=ANCHOR)
-            rec["doc"] = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)[doc]
+            rec["doc"] = np.array(ids, dtype=np.int64)[doc]
             rec["place"], rec["left"], rec["right"], rec["h"], rec["context"] = place, left, right, h & np.uint64((1 << 48) - 1), context
             first, copies = _earliest(rec)
             shard = (first["h"] >> np.uint64(8)) % np.uint64(n_shards)
@@ -546,7 +550,7 @@ def _contexts(asked: DataFrame, docs: DataFrame) -> DataFrame:
         for at in range(0, len(left), 50_000):
             yield batch_of(left[at : at + 50_000])
 
-    joined = per.join(docs, per["doc"] == F.coalesce(docs["doc_id"], F.lit(NO_ID))).select("doc", "text", "asks")
+    joined = per.join(docs, per["doc"] == docs["doc_id"]).select("doc", "text", "asks")
     return joined.mapInArrow(run, "h long, doc long, start int, gram int, bytes binary")
 
 
@@ -665,10 +669,37 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     return copies.select("doc", "start", "stop").unionByName(sorted_out)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, own): ``docs`` with the documents' numbers in order; ``own`` is the id of the row.
+
+    A number is the id itself, or the least long for a row without one, unless rows of one id differ. Then all rows
+    are numbered by (id, hash of the text): by range, with the ranges' sizes on the driver.
+    """
+    known = docs.withColumns({"own": F.col("doc_id"), "h": F.xxhash64("text")})
+    mixed = known.groupBy("own").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+    if mixed.isEmpty():
+        return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.col("doc_id").alias("own"))
+    width = shuffle_width(docs.sparkSession)
+    order = [F.col("own").asc_nulls_first(), F.col("h")]
+    ranked = shared_checkpoint(known.select("own", "h").distinct().repartitionByRange(width, *order).sortWithinPartitions(*order))
+    sizes = {r["part"]: r["count"] for r in ranked.groupBy(F.spark_partition_id().alias("part")).count().collect()}  # a row for each partition
+    before = np.cumsum([0, *[sizes.get(k, 0) for k in range(max(sizes) + 1)]])
+
+    def number(batches):
+        at = int(before[TaskContext.get().partitionId()])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.arange(at, at + batch.num_rows))], names=["r_own", "r_h", "number"])
+            at += batch.num_rows
+
+    numbers = shared_checkpoint(ranked.mapInArrow(number, "r_own long, r_h long, number long"))
+    met = known.join(numbers, F.col("own").eqNullSafe(F.col("r_own")) & (F.col("h") == F.col("r_h")))
+    return shared_checkpoint(met.select(F.col("number").alias("doc_id"), "text", "own"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): ``kept`` holds the remaining bytes."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    cut = repeated_intervals(docs).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    docs = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    cut = repeated_intervals(docs.select("doc_id", "text")).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
     def run(batches):
         for batch in batches:
@@ -689,7 +720,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             kinds = (None, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([v if k is None else pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-    joined = docs.join(cut, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == cut["doc"], "left").select("doc_id", "text", "cuts")
+    joined = docs.join(cut, docs["doc_id"] == cut["doc"], "left").select("own", "text", "cuts")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -100,10 +100,12 @@ def plain_joined(ids, pairs):
     return root
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_long_chains(spark, monkeypatch, one_task):
+    monkeypatch.setattr(common, "ONE_TASK", one_task)
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (5, 5)]
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert all(got[i] == 0 for i in range(1, 61)) and got[200] == 100
+    assert got == {**{i: 0 for i in range(1, 61)}, 200: 100}
 
 
 @settings(max_examples=150, deadline=None)
@@ -125,13 +127,16 @@ def test_suffix_array(t, by_item):
         assert min(plcp[a], 4) == min(same, 4)
 
 
+def text_hash(t):
+    h = 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def plain_dedup(rows):
+    """By (id, text): equal rows are one document, others of one id follow by the hashes of their texts."""
     seen, out = set(), {}
-    first = {}
-    for i, t in rows:  # a repeated row is the same document
-        first.setdefault(i, t)
-    for i in sorted(first, key=lambda x: (x is not None, x)):
-        b = (first[i] or "").encode()
+    for i, t in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0, text_hash(x[1]))):
+        b = (t or "").encode()
         gone = bytearray(len(b))
         for k in range(len(b) - 99):
             s = b[k : k + 100]
@@ -140,7 +145,7 @@ def plain_dedup(rows):
             seen.add(s)
         kept = bytes(x for x, g in zip(b, gone) if not g)
         runs = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
-        out[i] = (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+        out[i, t] = (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
     return out
 
 
@@ -166,13 +171,14 @@ def passages():
 def test_passages_against_brute_force(make_docs, awkward, monkeypatch, shard_bytes, hot):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    rows = passages() + [(None if i is None else i + 5000, t if t is None else t[:20_000]) for i, t in awkward]
+    rows = passages() + [(None if i is None else i + 5000, t) for i, t in awkward]
+    if hot == 1:  # unlike texts of one id, and of none
+        rows += [(300, rows[0][1] + " and its own end " * 9), (300, rows[8][1]), (None, "é" * 700), (None, rows[6][1]), (None, rows[6][1]), (None, None)]
     got = suffix_dedup.deduplicate(make_docs(rows)).collect()
     want = plain_dedup(rows)
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]], r["doc_id"]
-        assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]
+    found = sorted(((r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got), key=str)
+    assert found == sorted(((i, want[i, t]) for i, t in rows), key=str)
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
     assert sum(v[1] for v in want.values()) > 5000
 
 

@@ -137,25 +137,31 @@ def corpus(n=300):
     return out
 
 
-def test_language_model(make_docs, awkward):
+def test_language_model(make_docs, awkward, monkeypatch):
     rows = corpus() + [(None if i is None else i + 5000, t) for i, t in awkward]
-    got = {}
+    rows += [(1, "a b c"), (1, "a b c"), (10, "unlike text of one id"), (None, "a second without id"), (None, None)]
+    got, found = {}, []
     for r in language_model.score_documents(make_docs(rows)).collect():
         got.setdefault(r["doc_id"], []).append(r)
+        found.append((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 5)))
+        assert r["score"] < 0 and r["held_out"] == language_model.held_out(r["doc_id"])
     count = Counter()
     for i, t in rows:
         if not language_model.held_out(i):
             count.update(language_model.tokens((t or "").encode()))
     total, v = sum(count.values()), len(count)
-    assert sum(map(len, got.values())) == len(rows)
+    assert all(r["train_tokens"] == total for x in got.values() for r in x)
+    want = []
     for i, t in rows:
         w = language_model.tokens((t or "").encode())
         base = sum(math.log10((count[x] + 0.1) / (total + 0.1 * (v + 1))) for x in w)
-        for r in got[i]:
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(count[x] > 0 for x in w), total, language_model.held_out(i))
-            assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
+        want.append((str(i), len(w), sum(count[x] > 0 for x in w), round(base, 5)))
+    assert sorted(found) == sorted(want)
+    same = sorted((r["score"] for r in got[1] if r["n_tokens"] == 4), reverse=True)
+    assert len(same) == 2 and same[0] == pytest.approx(same[1])
     held = [r for i, x in got.items() for r in x if r["held_out"] and i is not None and i < 5000]
     assert len(held) > 10 and sum(r["score"] for r in held) > 1.05 * sum(r["base_score"] for r in held)
+    monkeypatch.setattr(language_model, "HELD", 50)
     a, b = ({r["doc_id"]: r["score"] for r in language_model.score_documents(d).collect()} for d in (make_docs(corpus(60)), make_docs(corpus(60)).repartition(1)))
     assert a == pytest.approx(b, rel=1e-9)  # seating does not depend on partitions
 
@@ -177,6 +183,83 @@ def test_probabilities_sum_to_one(make_docs):
     assert np.allclose(total, 1, atol=1e-6)
 
 
+def test_scores_against_a_plain_sampler(make_docs):
+    """Of a few sentences: the average over many sweeps of a sampler that seats customers one by one."""
+    train = [(i, t) for i, t in enumerate(["a b a b c", "b a b", "c c a b", "a b d", "d a b a"] * 3) if not language_model.held_out(i)]
+    r = random.Random(2)
+    (d0, d1), (a0, a1) = language_model.DISCOUNTS, language_model.STRENGTHS
+    calls = [(([""] + t.split())[k], w) for _, t in train for k, w in enumerate([*t.split(), "\n"])]
+    words = {w for _, w in calls}
+    rooms = {c: {} for c, _ in calls}  # tables by dish: sizes
+    top: dict[str, list[int]] = {}
+
+    def prob0(w):
+        n, t = sum(map(sum, top.values())), sum(map(len, top.values()))
+        own = top.get(w, [])
+        return (sum(own) - d0 * len(own) + (a0 + d0 * t) / (len(words) + 1)) / (a0 + n)
+
+    def prob(c, w):
+        room = rooms.get(c, {})
+        n, t = sum(map(sum, room.values())), sum(map(len, room.values()))
+        own = room.get(w, [])
+        return (sum(own) - d1 * len(own) + (a1 + d1 * t) * prob0(w)) / (a1 + n)
+
+    def enter(tables, discount, fresh):
+        """Seat one customer; whether at a new table."""
+        masses = [x - discount for x in tables]
+        u = r.random() * (sum(masses) + fresh)
+        for k, m in enumerate(masses):
+            u -= m
+            if u < 0:
+                tables[k] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def leave(tables):
+        k = r.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            return True
+        return False
+
+    def add(c, w):
+        t = sum(map(len, rooms[c].values()))
+        if enter(rooms[c].setdefault(w, []), d1, (a1 + d1 * t) * prob0(w)):
+            t0 = sum(map(len, top.values()))
+            enter(top.setdefault(w, []), d0, (a0 + d0 * t0) / (len(words) + 1))
+
+    for c, w in calls:
+        add(c, w)
+    probes = [("", "a"), ("a", "b"), ("b", "a"), ("b", "\n"), ("c", "c"), ("d", "zz")]
+    mean = np.zeros(len(probes))
+    for sweep in range(260):
+        for c, w in calls:
+            if leave(rooms[c][w]):
+                leave(top[w])
+            add(c, w)
+        if sweep >= 60:
+            mean += [prob(c, w) / 200 for c, w in probes]
+    p = dict(zip(probes, mean))
+    docs = make_docs(train).select("doc_id", "text")
+    state, kept = language_model.sample(language_model.training_counts(docs))
+    rows = {x["word"]: x for x in language_model.model_rows(state, kept).collect()}
+    hashes = {w: language_model.word_hash(w.encode()) for w in [*words, "zz"]}
+    held = kept[-1][language_model.CLASSES : 2 * language_model.CLASSES]
+    for (c, w), want in p.items():
+        klass = int(language_model.word_class(np.array([hashes[c]], dtype=np.uint64))[0]) if c else 0
+        row = rows.get(int(np.uint64(hashes[w]).astype(np.int64)))
+        parents = np.frombuffer(row["parents"]) if row else np.array([language_model._unigram(np.zeros(1), np.zeros(1), k)[0] for k in kept])
+        value = np.mean([(a1 + d1 * k[klass]) / (a1 + held[klass]) * q for k, q in zip(kept, parents)])
+        if row:
+            m = np.frombuffer(row["pairs"], dtype=language_model.MODEL)
+            m = m[m["context"] == klass]
+            if len(m):
+                value += (m["n"][0] - d1 * float(m["tables"][0])) / (a1 + held[klass])
+        assert value == pytest.approx(want, rel=0.35), (c, w)
+
+
 def test_seating_follows_the_restaurant_process():
     """Mean number of tables equals that of a plain simulation; large dishes go in steps."""
     r = random.Random(0)
