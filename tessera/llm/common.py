@@ -36,6 +36,9 @@ def ship(spark: SparkSession) -> None:
         for p in sorted((root / "tessera").rglob("*.py")):
             z.write(p, p.relative_to(root))
     sc.addPyFile(str(target))
+    # Whole texts in Arrow batches: fewer rows at once, where the session says nothing else.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     _shipped.add(sc.applicationId)
 
 

@@ -170,7 +170,7 @@ def test_probabilities_sum_to_one(make_docs):
     """Over the vocabulary and the unknown word, in every context."""
     docs = make_docs(corpus(80)).select("doc_id", "text")
     state, kept = language_model.sample(language_model.training_counts(docs))
-    rows = language_model.model_rows(state, kept).collect()
+    rows = language_model.model_rows(state, kept, np.zeros(0, dtype=np.int64)).collect()
     d1, a1 = language_model.DISCOUNTS[1], language_model.STRENGTHS[1]
     held = kept[-1][language_model.CLASSES : 2 * language_model.CLASSES]
     back = np.stack([(a1 + d1 * k[: language_model.CLASSES]) / (a1 + held) for k in kept])
@@ -244,7 +244,7 @@ def test_scores_against_a_plain_sampler(make_docs):
     p = dict(zip(probes, mean))
     docs = make_docs(train).select("doc_id", "text")
     state, kept = language_model.sample(language_model.training_counts(docs))
-    rows = {x["word"]: x for x in language_model.model_rows(state, kept).collect()}
+    rows = {x["word"]: x for x in language_model.model_rows(state, kept, np.zeros(0, dtype=np.int64)).collect()}
     hashes = {w: language_model.word_hash(w.encode()) for w in [*words, "zz"]}
     held = kept[-1][language_model.CLASSES : 2 * language_model.CLASSES]
     for (c, w), want in p.items():
