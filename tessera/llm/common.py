@@ -90,6 +90,11 @@ class Taken:
         at = bisect.bisect_right(self.ends, start)
         return at < len(self.starts) and self.starts[at] < end
 
+    def within(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The intervals that overlap start:end."""
+        at = bisect.bisect_right(self.ends, start)
+        return list(zip(self.starts[at:], self.ends[at:]))[: bisect.bisect_left(self.starts, end) - at]
+
 
 def map_docs(
     docs: DataFrame,

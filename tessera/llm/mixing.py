@@ -25,7 +25,9 @@ is spread over all its blocks. Uniform numbers are hashes, so reruns agree.
 
 Defined results: null text has size 0; a source of size 0 has target 0; the
 null source is a source of its own; rows that repeat a doc_id within a source
-are drawn together in the boundary blocks; an empty table gives no rows.
+are drawn together in the boundary blocks; equal hashes go by block or id; very long texts
+count whole; an empty table gives no rows; further columns are not read, whatever
+their names, but for those asked for.
 """
 
 from __future__ import annotations
@@ -50,9 +52,9 @@ def _hash32(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", size.alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
 
 
 def targets(docs: DataFrame) -> DataFrame:
@@ -139,10 +141,10 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
     return leaf.select("rank", cuts.alias("cuts"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, shards array<int>): a shard for each copy drawn."""
-    base = sized(docs)
-    aims = targets(base).withColumns({
+def mix(docs: DataFrame, shards: int = SHARDS, block_docs: int = BLOCK_DOCS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, shards array<int>): a shard for each copy drawn; and the columns ``keep`` of docs."""
+    base = sized(docs, keep)
+    aims = targets(base.select("doc_id", "source", "size")).withColumns({
         "rank": F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())),
         "n_blocks": F.greatest(F.ceil(F.col("n_docs") / block_docs), F.least("n_docs", F.lit(MIN_BLOCKS))).cast("long"),
         "whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"),
@@ -197,13 +199,18 @@ def mix(docs: DataFrame, shards: int = SHARDS, block_docs: int = BLOCK_DOCS) ->
     out = dealt.join(kept, F.col("edge") & (F.col("rank") == F.col("k_rank")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left")
     drawn = F.coalesce("shards", F.array().cast("array<int>"))
     drawn = F.when(F.col("k_in"), F.concat(drawn, F.array("edge_shard"))).otherwise(drawn)
-    return out.select("doc_id", "source", "size", "source_size", "target", drawn.alias("shards"))
+    return out.select("doc_id", "source", "size", "source_size", "target", drawn.alias("shards"), *[F.col(f"kept_{c}").alias(c) for c in keep])
+
+
+def place(copy: Column) -> Column:
+    """Where a copy of a document stands in its shard: by this number."""
+    return _hash32(F.lit("place"), F.col("doc_id"), copy)
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
     """The mix itself: (shard, place, doc_id, source, size), documents in shuffled order within their shard."""
     copies = mixed.select("doc_id", "source", "size", F.posexplode("shards").alias("copy", "shard"))
-    return copies.select("shard", _hash32(F.lit("place"), F.col("doc_id"), F.col("copy")).alias("place"), "doc_id", "source", "size")
+    return copies.select("shard", place(F.col("copy")).alias("place"), "doc_id", "source", "size")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

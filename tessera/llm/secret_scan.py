@@ -6,15 +6,18 @@ more; a window of that width slides over each and keeps, for each character
 class (hex, alnum, base64), the counts of its characters and the entropy of
 the window. One step changes two counts, so the sum of c*log2(c) changes by
 four table look-ups; a window belongs to the narrowest class that holds all its
-characters. Windows of a class at or above its threshold are merged to spans.
-Spans whose text an allow-list entry matches, or that overlap a base span, are
-suppressed. Base spans always stay.
+characters (hex of either case). Windows of a class at or above its threshold, with two
+digits and two letters at least (long words and constant names have none), are merged to spans.
+Windows that touch a base span or a stretch that an allow-list entry matches are
+suppressed, so a secret beside one is still found. Base spans always stay.
 
 A narrow map, no shuffle: each task reads texts in bounded chunks, and a text
 costs time linear in its length (patterns that could backtrack are guarded).
 
 Defined results: null is an empty text, with no spans; repeated rows are judged
-one by one; offsets are code points, end exclusive.
+one by one; spans of one start go by kind as listed; very long texts are scanned whole; an
+empty table gives no rows; further columns are not read, whatever their names; offsets
+are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ ALLOW = re.compile(
     r"|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855|0123456789|abcdefghij|ABCDEFGHIJ"
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 )
-_HEX_CHARS = frozenset("0123456789abcdef")
+_HEX_CHARS = frozenset("0123456789abcdefABCDEF")
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # a window holds one more character while it moves
 
 
@@ -99,11 +102,15 @@ def entropy_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int
     added = []
     taken = Taken([(b[0], b[1]) for b in base])
     for m in _CANDIDATE.finditer(text):
-        for s, e in _entropy_windows(m.group()):
-            s, e = s + m.start(), e + m.start()
-            if taken.overlaps(s, e) or ALLOW.search(text[s:e]):
-                continue
-            added.append((s, e, "entropy"))
+        run, shift = m.group(), m.start()
+        quiet = [(a.start(), a.end()) for a in ALLOW.finditer(run)]
+        if taken.overlaps(m.start(), m.end()):
+            quiet += [(max(0, s - shift), min(len(run), e - shift)) for s, e in taken.within(m.start(), m.end())]
+        at = 0
+        for s, e in [*sorted(quiet), (len(run), len(run))]:
+            if s - at >= WINDOW:
+                added += [(shift + at + x, shift + at + y, "entropy") for x, y in _entropy_windows(run[at:s])]
+            at = max(at, e)
     return added
 
 

@@ -167,3 +167,20 @@ def test_secrets_rows(make_docs, awkward):
     for i, t in data:
         assert got[i]["base_sha256"] == hashlib.sha256(secret_scan.joined(plain_secrets(t or "")).encode()).hexdigest()
     assert secret_scan.scan_documents(make_docs([])).count() == 0
+
+
+def test_entropy_beside_quiet_stretches():
+    """Upper-case hex counts as hex; only windows that touch a base span or the allow-list are dropped."""
+    r = random.Random(6)
+    found = 0
+    for _ in range(300):
+        found += bool(secret_scan.scan("x " + "".join(r.choice("0123456789ABCDEF") for _ in range(32)))[1])
+    assert found > 270
+    key = lambda: "".join(r.choice("GHJKLMNPQRSTUVWXYZ" if k % 3 else "23456789") for k in range(40))
+    for middle in ("0123456789", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "/" + "0a1b2c3d4e5f6071" + "/"):
+        a, b = key(), key()
+        spans = [x for x in secret_scan.scan(f"see {a}{middle}{b}.")[1] if x[2] == "entropy"]
+        quiet = (4 + len(a) + (middle[0] == "/"), 4 + len(a) + len(middle) - (middle[0] == "/"))
+        assert any(s < 4 + len(a) for s, _, _ in spans) and any(e > 4 + len(a) + len(middle) for _, e, _ in spans)
+        assert all(e <= quiet[0] or s >= quiet[1] for s, e, _ in spans)
+    assert not secret_scan.scan("id 123e4567-e89b-12d3-a456-426614174000 end")[1]
