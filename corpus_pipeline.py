@@ -4,6 +4,12 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``docs``. ``run`` writes each stage's rows as Parquet in
 the shared folder and rereads them, so a lost executor never repeats more than
 one stage.
+
+Defined results of all stages: a null text is an empty one and stays null; a null doc_id is
+no copy of another row and stays; rows that repeat a doc_id are judged one by one (of copies
+those of the smallest id stay, all of them); very long texts are judged whole; an empty
+table passes through as one; further columns of ``docs`` stay as they are, whatever their
+names, up to the last stage, which returns columns of its own beside the text's.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, near_copies, pii, simhash, toxicity
 from tessera.llm.common import ship, table
@@ -38,9 +45,16 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: for each document its size, its source's target and the shards that take it."""
-    mixed = mixing.mix(docs)
-    return mixed.selectExpr("doc_id", "source", "size", "source_size", "target", "size(shards) * size AS taken", "array_join(shards, ',') AS shards")
+    """The mix: each document with its text, how many words of it the mix takes, and for each copy taken its shard and its place there.
+
+    Sorting copies by (shard, place) gives the shuffled shards; a document that the mix does not take has none.
+    """
+    mixed = mixing.mix(docs, keep=("text", "lang", "n_chars"))
+    places = F.transform(F.sequence(F.lit(0), F.size("shards")), lambda k: mixing.place(k))
+    return mixed.select(
+        "doc_id", "source", "size", "source_size", "target", (F.size("shards") * F.col("size")).alias("taken"),
+        F.array_join("shards", ",").alias("shards"), F.array_join(F.slice(places, 1, F.size("shards")), ",").alias("places"), "text", "lang", "n_chars",
+    )
 
 
 STAGES = [
