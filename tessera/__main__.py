@@ -6,11 +6,13 @@ from pyspark.sql import SparkSession
 
 from .plans.options import parse
 from .plans.run import run
+from .shipping import ship
 
 
 def main(args: list[str]) -> int:
     options = parse(args)
     spark = SparkSession.builder.appName("tessera").getOrCreate()
+    ship(spark)
     result = run(spark, options)
     for stage, s in result.seconds.items():
         print(f"{stage}: {s:.1f} s")

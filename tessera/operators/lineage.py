@@ -9,9 +9,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later uses read it back and their plans start from it.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; one is set
-    here only where none is configured.
+    here only where none is configured and all runs on this machine.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        if not (sc.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir("/tmp/checkpoints")
     return df.checkpoint(eager=True)

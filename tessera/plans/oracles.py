@@ -104,7 +104,7 @@ _add(
     density_columns="SELECT x, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY x",
     density_rows="SELECT y, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY y",
     density_cumulative="SELECT x, CAST(sum(sum(n)) OVER (ORDER BY x) AS BIGINT) AS running FROM cells GROUP BY x",
-    density_gaps="SELECT prev + 1 AS start, x - prev - 1 AS len FROM (SELECT x, lag(x) OVER (ORDER BY x) AS prev FROM (SELECT x FROM cells GROUP BY x HAVING sum(n) % 3 <> 0)) WHERE x - prev > 1",
+    density_gaps="SELECT prev + 1 AS start, x - prev - 1 AS len FROM (SELECT x, lag(x) OVER (ORDER BY x) AS prev FROM (SELECT x FROM cells GROUP BY x HAVING sum(n) >= (SELECT avg(n) FROM (SELECT sum(n) AS n FROM cells GROUP BY x)))) WHERE x - prev > 1",
     density_dump="SELECT x || ',' || y || ',' || n AS line FROM cells",
     data_bbox="SELECT min(mlat) AS min_lat, min(mlon) AS min_lon, max(mlat) AS max_lat, max(mlon) AS max_lon FROM nodes",
     sea_merge="""SELECT coalesce(c.x, s.x) AS x, coalesce(c.y, s.y) AS y, coalesce(c.n, 2 * s.n) AS n FROM cells c
@@ -150,7 +150,7 @@ _add(
     merge_lookup="SELECT id, tile, mlat FROM nodes JOIN nt ON id = node",
     relation_closure="SELECT ancestor, descendant FROM closure",
     relation_loops="SELECT DISTINCT ancestor AS rel FROM closure WHERE ancestor = descendant",
-    relation_parents="SELECT c_custkey AS rel FROM customer WHERE c_custkey % 10 = 1 UNION SELECT ancestor FROM closure WHERE descendant % 10 = 1",
+    relation_parents="SELECT rel FROM pr UNION SELECT ancestor FROM closure WHERE descendant IN (SELECT rel FROM pr)",
     parent_tiles="SELECT rel, tile FROM rt UNION SELECT 10000000 + c_nationkey, tile FROM rt JOIN customer ON rel = c_custkey",
     member_propagation_ways="SELECT DISTINCT m.way, tile FROM way_members m JOIN rt USING (rel) WHERE m.way IN (SELECT way FROM wt)",
     member_propagation_nodes="SELECT node, tile FROM node_members JOIN rt USING (rel) UNION SELECT node, tile FROM refs JOIN wt USING (way)",

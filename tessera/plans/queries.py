@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, geometry, tags, units
 from ..operators import assign, density, distribute, multitile, problems, solver
+from ..shipping import ship
 from ..streaming import events
 from ..sources.derived import TILE_LAT, TILE_LON, TILES, Graph
 
@@ -22,6 +23,7 @@ GRID = (0, 0, TILES * TILE_LAT, TILES * TILE_LON)
 def query(f: Callable[[Graph], DataFrame]):
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         return f(Graph(spark, sf_dir))
 
     QUERIES[f.__name__] = run
@@ -205,9 +207,10 @@ def density_cumulative(g: Graph) -> DataFrame:
 
 @query
 def density_gaps(g: Graph) -> DataFrame:
-    """Over columns that hold many nodes, so that gaps occur."""
-    full = density.sums(_cells(g), "x").where("n % 3 <> 0")
-    return _long(density.gaps(full))
+    """Between the columns that hold as many nodes as the average column, or more."""
+    columns = density.sums(_cells(g), "x")
+    average = columns.agg(F.avg("n").alias("average")).first()["average"]
+    return _long(density.gaps(columns.where(F.col("n") >= F.lit(average))))
 
 
 @query
@@ -466,7 +469,8 @@ def relation_loops(g: Graph) -> DataFrame:
 
 @query
 def relation_parents(g: Graph) -> DataFrame:
-    seeds = g.relations.where("id % 10 = 1").select(F.col("id").alias("rel"))
+    """Of the problem relations and all that hold them."""
+    seeds = problem_relations(g).select("rel")
     return multitile.upward(seeds, multitile.closure(g.edges))
 
 
