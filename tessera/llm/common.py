@@ -51,14 +51,23 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder that the cluster names.
 
     ``spark.checkpoint.dir`` is honoured by Spark itself; a folder is set here
-    only where none is configured, as in local tests.
+    only where none is configured and all runs on this machine, as in local tests.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for what all executors read."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not (spark.sparkContext.master or "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "/tmp/checkpoints"
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -123,6 +123,33 @@ def test_toxicity_rows(spark, make_docs, awkward):
     assert toxicity.score_documents(make_docs([]), machine).count() == 0
 
 
+def test_pair_sum_against_the_plain_one():
+    rng = np.random.default_rng(5)
+    m = toxicity.Machine(-0.3, {}, rng.normal(size=40), rng.normal(size=(40, toxicity.RANK)))
+    for n in (0, 1, 2, 17):
+        rows = rng.choice(40, n, replace=False)
+        plain = -0.3 + sum(m.linear[i] for i in rows) + sum(float(m.factors[i] @ m.factors[j]) for a, i in enumerate(rows) for j in rows[:a])
+        assert m.logit(rows) == pytest.approx(plain, abs=1e-9)
+
+
+def test_terms_that_tell_only_beside_others():
+    """A mention that says nothing alone, and a term of clean documents, take part."""
+    r = random.Random(8)
+    features, labels = [], []
+    for k in range(1200):
+        insult, group, kind = (r.random() < p for p in (0.3, 0.5, 0.3))
+        toxic = insult and (group or r.random() < 0.2) and not kind or not insult and not group and r.random() < 0.22
+        features.append(np.array([t for t, there in ((1, insult), (2, group), (3, kind), (10 + r.randrange(300), True)) if there], dtype="<i4"))
+        labels.append(int(toxic))
+    y = np.array(labels) > 0
+    n, z = toxicity._apart(features, y, 400)
+    assert z[1] > toxicity.MIN_Z and abs(z[2]) < toxicity.MIN_Z and z[3] < -toxicity.MIN_Z / 2
+    assert {1, 2} <= set(toxicity._selected(features, y, 400).tolist())
+    machine = toxicity.fit(list(features), labels)
+    logit = lambda *terms: machine.logit(np.array([machine.at[t] for t in terms]))
+    assert logit(1, 2) - logit(1) > logit(2) - machine.bias
+
+
 # ---- language model ----
 
 def corpus(n=300):
