@@ -53,7 +53,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_checkpoint, shuffle_width, table
@@ -669,16 +669,16 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     return copies.select("doc", "start", "stop").unionByName(sorted_out)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, own): ``docs`` with the documents' numbers in order; ``own`` is the id of the row.
+def keyed(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """(doc_id, text): ``docs`` with the documents' numbers in order; and the id of the row as given.
 
     A number is the id itself, or the least long for a row without one, unless rows of one id differ. Then all rows
     are numbered by (id, hash of the text): by range, with the ranges' sizes on the driver.
     """
     known = docs.withColumns({"own": F.col("doc_id"), "h": F.xxhash64("text")})
-    mixed = known.groupBy("own").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
-    if mixed.isEmpty():
-        return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.col("doc_id").alias("own"))
+    mixed = known.groupBy("own").agg(F.min("h").alias("a"), F.max("h").alias("b")).where((F.col("a") != F.col("b")) | (F.col("own") == NO_ID))
+    if mixed.isEmpty():  # no further column, so both joins with the texts share one shuffle
+        return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text"), F.nullif(F.col("doc_id"), F.lit(NO_ID))
     width = shuffle_width(docs.sparkSession)
     order = [F.col("own").asc_nulls_first(), F.col("h")]
     ranked = shared_checkpoint(known.select("own", "h").distinct().repartitionByRange(width, *order).sortWithinPartitions(*order))
@@ -693,12 +693,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
     numbers = shared_checkpoint(ranked.mapInArrow(number, "r_own long, r_h long, number long"))
     met = known.join(numbers, F.col("own").eqNullSafe(F.col("r_own")) & (F.col("h") == F.col("r_h")))
-    return shared_checkpoint(met.select(F.col("number").alias("doc_id"), "text", "own"))
+    return shared_checkpoint(met.select(F.col("number").alias("doc_id"), "text", "own")), F.col("own")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): ``kept`` holds the remaining bytes."""
-    docs = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    docs, own = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     cut = repeated_intervals(docs.select("doc_id", "text")).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
     def run(batches):
@@ -720,7 +720,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             kinds = (None, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([v if k is None else pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-    joined = docs.join(cut, docs["doc_id"] == cut["doc"], "left").select("own", "text", "cuts")
+    joined = docs.join(cut, docs["doc_id"] == cut["doc"], "left").select(own.alias("doc_id"), "text", "cuts")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
