@@ -93,11 +93,10 @@ def distribute_complete(
     rt = cut(multitile.with_descendants(rt, in_cl))
 
     known_ways = placed.select("way").distinct()
-    known_nodes = placed.select("node").unionByName(cl_nodes.select("node").join(e.points.select(F.col("id").alias("node")), "node", "left_semi")).distinct()
-    wt1 = cut(wt0.unionByName(multitile.to_ways(rt, cl_ways, known_ways)).distinct())
-    nx = multitile.to_nodes(rt, cl_nodes, wt1, needed, known_nodes)
-
-    nodes = nt.unionByName(nx).distinct()
+    wt1 = cut(multitile.merged("way", multitile.sets(wt0, "way"), multitile.by_way(rt, cl_ways, known_ways)))
+    known = e.points.select(F.col("id").alias("node"))
+    handed = multitile.by_node(rt, cl_nodes, wt1, needed, known)
+    nodes = multitile.merged("node", multitile.sets(nt, "node"), handed)
     ways = _or_else(wt1, assign.way_tiles(e.refs, nt), "way")
     plain = assign.relation_tiles(e.node_members, e.way_members, nt, ways)
     relations = _or_else(single, _or_else(rt, plain, "rel"), "rel").where("tile IS NOT NULL")

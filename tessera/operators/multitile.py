@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,22 +47,44 @@ def loops(pairs: DataFrame) -> DataFrame:
     return pairs.where("ancestor = descendant").select(F.col("ancestor").alias("rel")).distinct()
 
 
+def sets(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, tiles) of (key, tile). A set has at most as many members as there are tiles."""
+    return pairs.groupBy(key).agg(F.collect_set("tile").alias("tiles"))
+
+
+def merged(key: str, *parts: DataFrame) -> DataFrame:
+    """(key, tile) of several (key, tiles): a row a set is shuffled, not a row a tile."""
+    union = reduce(DataFrame.unionByName, [p.select(key, "tiles") for p in parts])
+    return union.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("tiles"))).alias("tiles")).select(key, F.explode("tiles").alias("tile"))
+
+
 def with_descendants(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
     """(rel, tile): each relation's tiles and those of its descendants."""
-    below = pairs.select(F.col("ancestor").alias("parent"), F.col("descendant").alias("rel")).join(tiles, "rel").select(F.col("parent").alias("rel"), "tile")
-    return tiles.select("rel", "tile").unionByName(below).distinct()
+    own = sets(tiles, "rel")
+    below = pairs.select(F.col("ancestor").alias("parent"), F.col("descendant").alias("rel")).join(own, "rel").select(F.col("parent").alias("rel"), "tiles")
+    return merged("rel", own, below)
+
+
+def by_way(tiles: DataFrame, way_members: DataFrame, known: DataFrame) -> DataFrame:
+    """(way, tiles) that each relation hands to its known ways."""
+    return way_members.join(known.select("way"), "way", "left_semi").join(sets(tiles, "rel"), "rel").select("way", "tiles")
 
 
 def to_ways(tiles: DataFrame, way_members: DataFrame, known: DataFrame) -> DataFrame:
     """(way, tile) that relations hand to their known ways."""
-    return way_members.join(tiles, "rel").select("way", "tile").join(known.select("way"), "way", "left_semi").distinct()
+    return merged("way", by_way(tiles, way_members, known))
+
+
+def by_node(tiles: DataFrame, node_members: DataFrame, tiles_of_ways: DataFrame, refs: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, tiles) that each relation and way hands to its known nodes; unknown ones go before their tiles are joined."""
+    by_rel = node_members.join(known.select("node"), "node", "left_semi").join(sets(tiles, "rel"), "rel").select("node", "tiles")
+    through = refs.select("way", "node").join(known.select("node"), "node", "left_semi").join(sets(tiles_of_ways, "way"), "way").select("node", "tiles")
+    return by_rel.unionByName(through)
 
 
 def to_nodes(tiles: DataFrame, node_members: DataFrame, tiles_of_ways: DataFrame, refs: DataFrame, known: DataFrame) -> DataFrame:
     """(node, tile) that relations and ways hand to their known nodes."""
-    by_rel = node_members.join(tiles, "rel").select("node", "tile")
-    by_way = refs.select("way", "node").join(tiles_of_ways, "way").select("node", "tile")
-    return by_rel.unionByName(by_way).join(known.select("node"), "node", "left_semi").distinct()
+    return merged("node", by_node(tiles, node_members, tiles_of_ways, refs, known))
 
 
 def incomplete(way_members: DataFrame, node_members: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:

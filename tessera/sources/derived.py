@@ -7,6 +7,7 @@ nations; tiles are a fixed grid and cities are suppliers.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @property
+    @cached_property
     def nodes(self) -> DataFrame:
         """(id, mlat, mlon, way, pos). The pair (order, line number) repeats in the data, hence the grouping."""
         line = F.col("l_linenumber").cast("long")
