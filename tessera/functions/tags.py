@@ -23,12 +23,20 @@ def first(tags: Column, key: str) -> Column:
 
 
 def wanted_relation(tags: Column, boundary_tags: tuple[str, ...] | None = None, admin_level: int = 5) -> Column:
-    """Relations whose parts must stay together. ``boundary_tags`` None: all but the unwanted ones."""
-    kind, boundary = first(tags, "type"), first(tags, "boundary")
-    named = ~boundary.isin(*UNWANTED_BOUNDARIES) if boundary_tags is None else boundary.isin(*boundary_tags)
+    """Relations whose parts must stay together. ``boundary_tags`` None: all but the unwanted ones.
+
+    Of repeated keys all ``type`` and ``boundary`` tags count, and the last ``admin_level``.
+    """
+    def any_of(key: str, test) -> Column:
+        return F.coalesce(F.exists(tags, lambda t: (t["k"] == key) & test(t["v"])), F.lit(False))
+
+    direct = any_of("type", lambda v: v.isin(*RELATION_TYPES) | v.startswith("restriction:"))
+    area = any_of("type", lambda v: v.isin("multipolygon", "boundary"))
+    bounded = any_of("boundary", lambda v: F.lit(True))
+    named = ~any_of("boundary", lambda v: v.isin(*UNWANTED_BOUNDARIES)) if boundary_tags is None else any_of("boundary", lambda v: v.isin(*boundary_tags))
     levels = [str(n) for n in range(max(2, admin_level), 12)]
-    area = kind.isin("multipolygon", "boundary") & (boundary.isNull() | named | F.coalesce(first(tags, "admin_level").isin(*levels), F.lit(False)))
-    return F.coalesce(kind.isin(*RELATION_TYPES) | kind.startswith("restriction:") | area, F.lit(False))
+    level = F.coalesce(F.get(F.reverse(F.filter(tags, lambda t: t["k"] == "admin_level")), F.lit(0))["v"].isin(*levels), F.lit(False))
+    return direct | area & (~bounded | named | level)
 
 
 def is_area_relation(tags: Column) -> Column:

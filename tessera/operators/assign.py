@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import EDGES, at_least_one, box, contains_point, grown, overlaps, touches
 from ..functions.geometry import segment_meets_box
+from .lineage import cut
 
 CELL_SHIFT = 15
 
@@ -59,9 +60,17 @@ def tile_sets(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def set_dictionary(sets: DataFrame) -> DataFrame:
-    """(tiles, rank, n): distinct sets numbered in order of their text; ranks come after the aggregation."""
+    """(tiles, rank, n): distinct sets numbered in order of their text; ranks come after the aggregation.
+
+    Sets are dealt by ranges and counted part by part, so no task sees them all; the
+    only global window is over the counts of the parts.
+    """
     per = sets.groupBy("tiles").agg(F.count("*").alias("n"))
-    return per.select("tiles", F.row_number().over(W.orderBy("tiles")).alias("rank"), "n")
+    dealt = cut(per.repartitionByRange("tiles").withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(W.orderBy("part")) - F.col("size")).alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy("tiles"))
+    return dealt.withColumn("place", place).join(before, "part").select("tiles", (F.col("before") + F.col("place")).alias("rank"), "n")
 
 
 def located(refs: DataFrame, points: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.units import GRID_LAT, round_nearest
 
+#: Blocks of 32 cells a side in the join with boxes.
+BLOCK_SHIFT = 5
+
 
 def data_box(points: DataFrame) -> DataFrame:
     """The box around all points, those beyond 85 degrees included."""
@@ -63,7 +66,15 @@ def merge_sea(cells: DataFrame, sea: DataFrame) -> DataFrame:
 
 
 def shares(cells: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(share, cells, n): cells grouped by the set of named boxes (in cells, name and four bounds) that cover them."""
-    cover = cells.join(boxes, F.col("x").between(F.col("x0"), F.col("x1") - 1) & F.col("y").between(F.col("y0"), F.col("y1") - 1))
+    """(share, cells, n): cells grouped by the set of named boxes (in cells, name and four bounds) that cover them.
+
+    Boxes are listed in blocks of cells, so the range join is an equi-join with the exact test as a residual.
+    """
+    def blocks(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.shiftright(low, BLOCK_SHIFT), F.shiftright(F.col(high) - 1, BLOCK_SHIFT)).cast("array<bigint>"))
+
+    listed = boxes.where("x0 < x1 AND y0 < y1").withColumn("bx", blocks("x0", "x1")).withColumn("by", blocks("y0", "y1"))
+    keyed = cells.withColumns({b: F.shiftright(c, BLOCK_SHIFT).cast("long") for b, c in (("bx", "x"), ("by", "y"))})
+    cover = keyed.join(listed, ["bx", "by"]).where(F.col("x").between(F.col("x0"), F.col("x1") - 1) & F.col("y").between(F.col("y0"), F.col("y1") - 1))
     per = cover.groupBy("x", "y").agg(F.first("n").alias("n"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("share"))
     return per.groupBy("share").agg(F.count("*").alias("cells"), F.sum("n").alias("n"))

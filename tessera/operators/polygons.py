@@ -7,7 +7,7 @@ polygons are rasterised to the cells of the density grid that they meet.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import combinations
+from dataclasses import replace
 
 import numpy as np
 
@@ -87,30 +87,42 @@ def pseudo_areas(tiles: list[Tile]) -> list[Tile]:
     return [Tile(-1 - i, int(lat[y0]), int(lon[x0]), int(lat[y1]), int(lon[x1])) for i, (_, y0, y1, x0, x1) in enumerate(_rectangles(label))]
 
 
-def _covers_rectangle(tiles: list[Tile]) -> bool:
-    box = (min(t.min_lat for t in tiles), min(t.min_lon for t in tiles), max(t.max_lat for t in tiles), max(t.max_lon for t in tiles))
-    return sum((t.max_lat - t.min_lat) * (t.max_lon - t.min_lon) for t in tiles) == (box[2] - box[0]) * (box[3] - box[1])
+def rectangle_unions(tiles: list[Tile]) -> list[tuple[int, ...]]:
+    """Sets of disjoint tiles whose union is a rectangle: a way within such a set cannot leave it between its nodes.
 
+    Two rectangles make one where they share a whole side, so sets are found by their sides.
+    """
+    found: dict[tuple[int, ...], tuple[int, int, int, int]] = {}
+    after: dict[tuple, list[tuple[int, ...]]] = {}
+    before: dict[tuple, list[tuple[int, ...]]] = {}
 
-def rectangle_unions(tiles: list[Tile]) -> list[tuple[int, ...]]:
-    """Sets of disjoint tiles whose union is a rectangle: a way within such a set cannot leave it between its nodes."""
-    found = {tuple(p) for p in combinations(range(len(tiles)), 2) if _covers_rectangle([tiles[i] for i in p])}
-    last = found
-    while last and len(found) < MAX_SETS:
-        bigger = set()
+    def sides(b: tuple[int, int, int, int]) -> list[tuple[tuple, tuple]]:
+        """For both axes: the lower side and the upper one."""
+        lat0, lon0, lat1, lon1 = b
+        return [(("lon", lat0, lat1, lon0), ("lon", lat0, lat1, lon1)), (("lat", lon0, lon1, lat0), ("lat", lon0, lon1, lat1))]
+
+    def add(s: tuple[int, ...], b: tuple[int, int, int, int]) -> None:
+        found[s] = b
+        for low, high in sides(b):
+            after.setdefault(low, []).append(s)
+            before.setdefault(high, []).append(s)
+
+    for i, t in enumerate(tiles):
+        add((i,), (t.min_lat, t.min_lon, t.max_lat, t.max_lon))
+    last = list(found)
+    while last and len(found) - len(tiles) < MAX_SETS:
+        bigger = {}
         for s in last:
-            for i in range(len(tiles)):
-                if i not in s and len(s) < MAX_SET:
-                    u = tuple(sorted((*s, i)))
-                    if u not in found and _covers_rectangle([tiles[k] for k in u]):
-                        bigger.add(u)
-            for o in found:
-                u = tuple(sorted({*s, *o}))
-                if len(s) < len(u) <= MAX_SET and u not in found and not set(s) & set(o) and _covers_rectangle([tiles[k] for k in u]):
-                    bigger.add(u)
-        last = bigger - found
-        found |= last
-    return sorted(found)
+            a = found[s]
+            for low, high in sides(a):
+                for o in after.get(high, []) + before.get(low, []):
+                    b, u = found[o], tuple(sorted({*s, *o}))
+                    if len(u) <= MAX_SET and u not in found:
+                        bigger[u] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+        for u, box in bigger.items():
+            add(u, box)
+        last = list(bigger)
+    return sorted(s for s in found if len(s) > 1)
 
 
 def outline(tiles: list[Tile]) -> list[Ring]:
@@ -166,8 +178,45 @@ def outline(tiles: list[Tile]) -> list[Ring]:
     return sorted(rings, key=lambda r: r.hole)
 
 
-def too_complex(rings: list[Ring]) -> bool:
-    return sum(len(r.points) - 1 for r in rings) > MAX_VERTICES
+def too_complex(rings: list[Ring], shift: int) -> bool:
+    """A ring's slanting edges would become more than ``MAX_VERTICES`` corners on the grid."""
+    def corners(r: Ring) -> int:
+        return sum(2 * int(min(abs(x1 - x2), abs(y1 - y2)) // (1 << shift)) for (x1, y1), (x2, y2) in zip(r.points, r.points[1:]))
+
+    return any(corners(r) > MAX_VERTICES for r in rings)
+
+
+def _clipped(points: list[tuple[float, float]], t: Tile) -> list[tuple[float, float]]:
+    """The ring's part within the tile's box, one half plane after the other."""
+    points = points[:-1]
+    for axis, bound, sign in ((0, t.min_lon, 1), (0, t.max_lon, -1), (1, t.min_lat, 1), (1, t.max_lat, -1)):
+        out = []
+        for a, b in zip([*points[-1:], *points[:-1]], points):
+            da, db = sign * (a[axis] - bound), sign * (b[axis] - bound)
+            if da * db < 0:
+                k = da / (da - db)
+                out.append((a[0] + k * (b[0] - a[0]), a[1] + k * (b[1] - a[1])))
+            if db >= 0:
+                out.append(b)
+        points = out
+    return points
+
+
+def _size(points: list[tuple[float, float]]) -> float:
+    return abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(points, [*points[1:], *points[:1]]))) / 2
+
+
+def cut_to(rings: list[Ring], t: Tile) -> Tile:
+    """The tile, cut to the polygon where what is left is a rectangle; else the whole tile."""
+    parts = [(_clipped(r.points, t), r.hole) for r in rings]
+    corners = [p for part, hole in parts if not hole and _size(part) for p in part]
+    if not corners or any(hole and _size(part) for part, hole in parts):
+        return t
+    (x0, x1), (y0, y1) = ((min(v), max(v)) for v in zip(*corners))
+    covered = sum(_size(part) for part, _ in parts)
+    if abs(covered - (x1 - x0) * (y1 - y0)) > 1e-6 * covered:
+        return t
+    return replace(t, min_lat=round(y0), min_lon=round(x0), max_lat=round(y1), max_lon=round(x1))
 
 
 def _inside(rings: list[Ring], x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -25,6 +25,13 @@ def single_area_relations(areas: DataFrame) -> DataFrame:
     return areas.groupBy("rel").agg(F.count("*").alias("n"), F.min("tile").alias("tile")).where("n = 1").select("rel", "tile")
 
 
+def report(ways: DataFrame, relations: DataFrame) -> DataFrame:
+    """(line) of the problem report, ways before relations, by id."""
+    parts = [f.select(F.lit(i).alias("part"), F.col(key).alias("id"), F.format_string(f"{name}: %d #", key).alias("line"))
+             for i, (name, key, f) in enumerate((("way", "way", ways), ("rel", "rel", relations)))]
+    return parts[0].unionByName(parts[1]).orderBy("part", "id").select("line")
+
+
 def merged_ids(*frames: DataFrame) -> DataFrame:
     """Distinct ids of several one-column frames, as ``id``."""
     out = None

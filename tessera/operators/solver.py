@@ -7,6 +7,7 @@ so a candidate cut costs a constant number of look-ups.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +22,10 @@ MAX_LAT_DEGREES, MAX_LON_DEGREES = 85.0, 90.0
 LARGE_BUDGET = 10_000_000
 GOOD_FILL = 0.93
 ROUNDS = 100
+#: Corners of a polygon's part that is still cut at them; a more complex one is split as its box.
+MAX_CORNERS = 40
+#: Dense tables of the grid may take so many bytes on the driver.
+MAX_GRID_BYTES = 4 << 30
 #: Empty bands: longer than this many degrees, or than this many cells with many nodes on both sides.
 BAND_DEGREES, BAND_CELLS = 30.0, 10
 
@@ -73,6 +78,8 @@ class Grid:
     @classmethod
     def from_cells(cls, cells: DataFrame, shift: int, width: int, height: int, row0: int = 0) -> Grid:
         """From a sparse (x, y, n) table."""
+        if 24 * width * height > MAX_GRID_BYTES:
+            raise ValueError(f"a grid of {width} x {height} cells is too large for the search; choose a lower resolution")
         counts = np.zeros((width, height), dtype=np.int64)
         pdf = cells.select("x", "y", "n").toPandas()
         counts[pdf["x"].to_numpy(), pdf["y"].to_numpy()] = pdf["n"].to_numpy()
@@ -284,10 +291,7 @@ def solve(grid: Grid, r: Rect, budget: int, limit: int = 200_000, allow_empty: b
 
 
 def trimmed(grid: Grid, s: Solution) -> list[Rect]:
-    """Tiles on the outer border of the solution lose empty outer rows and columns.
-
-    A side moves in only where all tiles on it allow it, so no gaps arise.
-    """
+    """Tiles on the outer border of the solution lose their own empty rows and columns on that side; inner sides stay."""
     tiles = [t for t in s.tiles if grid.count(t)]
     if not tiles:
         return []
@@ -338,13 +342,106 @@ def split_to(grid: Grid, wanted: int, limit: int = 200_000, trim: bool = True) -
     return best
 
 
+def _pieces(mask: np.ndarray) -> list[np.ndarray]:
+    """Parts of a mask whose cells are joined by edges."""
+    label = np.zeros(mask.shape, dtype=np.int64)
+    label[mask] = np.arange(1, mask.sum() + 1)
+    while True:
+        spread = label.copy()
+        for axis in (0, 1):
+            for step in (1, -1):
+                moved = np.roll(label, step, axis)
+                edge = [slice(None), slice(None)]
+                edge[axis] = 0 if step == 1 else -1
+                moved[tuple(edge)] = 0
+                spread = np.maximum(spread, moved)
+        spread[~mask] = 0
+        # jump to the label of the cell that the label names, so that long parts need few rounds
+        flat = spread.ravel()
+        names = np.concatenate([[0], flat[np.flatnonzero(mask.ravel())]])
+        spread = names[spread]
+        if (spread == label).all():
+            return [label == k for k in np.unique(label[mask])]
+        label = spread
+
+
+def _box_of(mask: np.ndarray, within: Rect) -> Rect | None:
+    part = mask[within.x0 : within.x1, within.y0 : within.y1]
+    if not part.any():
+        return None
+    xs, ys = np.flatnonzero(part.any(1)), np.flatnonzero(part.any(0))
+    return Rect(within.x0 + int(xs[0]), within.y0 + int(ys[0]), within.x0 + int(xs[-1]) + 1, within.y0 + int(ys[-1]) + 1)
+
+
+def _corners(mask: np.ndarray, r: Rect) -> list[tuple[int, int]]:
+    """Grid points where the outline of the part of the mask within ``r`` turns."""
+    part = np.pad(mask[r.x0 : r.x1, r.y0 : r.y1], 1).astype(int)
+    around = part[:-1, :-1] + part[1:, :-1] + part[:-1, 1:] + part[1:, 1:]
+    slanted = (around == 2) & (part[:-1, :-1] == part[1:, 1:])
+    return [(r.x0 + int(x), r.y0 + int(y)) for x, y in np.argwhere((around == 1) | (around == 3) | slanted)]
+
+
+def _rectangular(grid: Grid, r: Rect, budget: int, limit: int) -> Solution:
+    best = solve(grid, r, budget, limit)
+    return best if best.tiles else solve(grid, r, budget, limit, allow_empty=True)
+
+
+def _within(grid: Grid, mask: np.ndarray, r: Rect, budget: int, limit: int, known: dict[Rect, Solution]) -> Solution:
+    """Tiles of the part of the mask within ``r``: cut at its corners until the parts are rectangles."""
+    if r in known:
+        return known[r]
+    corners = _corners(mask, r)
+    if mask[r.x0 : r.x1, r.y0 : r.y1].all():
+        known[r] = _rectangular(grid, r, budget, limit) if grid.count(r) else Solution()
+        return known[r]
+    if len(corners) > MAX_CORNERS:
+        warnings.warn("the polygon is too complex, its box is split instead", stacklevel=2)
+        known[r] = _rectangular(grid, r, budget, limit)
+        return known[r]
+    known[r] = Solution()
+    for x, y in corners:
+        cuts = []
+        if r.x0 < x < r.x1:
+            cuts.append((Rect(r.x0, r.y0, x, r.y1), Rect(x, r.y0, r.x1, r.y1)))
+        if r.y0 < y < r.y1:
+            cuts.append((Rect(r.x0, r.y0, r.x1, y), Rect(r.x0, y, r.x1, r.y1)))
+        for halves in cuts:
+            found = Solution()
+            for half in sorted(halves, key=lambda h: h.cells):
+                box = _box_of(mask, half)
+                if box is None or not grid.count(box):
+                    continue
+                part = _within(grid, mask, box, budget, limit, known)
+                if not part.tiles:
+                    break
+                found = found.merged(part)
+            else:
+                if found.tiles:
+                    known[r] = found
+                    return found
+    return known[r]
+
+
 def split_polygon(grid: Grid, budget: int, limit: int = 200_000) -> list[Rect]:
-    """As ``split`` within ``grid.inside``: cells outside the polygon do not count, tiles are at most half outside."""
-    own = Grid(np.where(grid.inside, grid.counts, 0), grid.shift, grid.row0, grid.inside)
-    best = solve(own, own.trim(own.whole()), budget, limit, allow_empty=True)
-    if not best.tiles:
-        own.out = None  # a thin polygon: the half-outside rule leaves nothing
-        best = solve(own, own.trim(own.whole()), budget, limit, allow_empty=True)
-    if not best.tiles:
-        raise SplitFailed("no solution within the polygon")
-    return sorted((t for t in best.tiles if own.count(t)), key=lambda t: (t.x0, t.y0))
+    """As ``split`` within ``grid.inside``, piece by piece: cells outside the polygon do not count.
+
+    A piece is cut at its corners into rectangles, each split on its own. Where that
+    finds nothing, its box is split into tiles that are at most half outside.
+    """
+    out: list[Rect] = []
+    for mask in _pieces(grid.inside):
+        own = Grid(np.where(mask, grid.counts, 0), grid.shift, grid.row0)
+        box = _box_of(mask, own.whole())
+        if not own.count(box):
+            continue
+        best = _within(own, mask, box, budget, limit, {})
+        if not best.tiles:
+            own = Grid(own.counts, grid.shift, grid.row0, mask)
+            best = solve(own, own.trim(box), budget, limit, allow_empty=True)
+        if not best.tiles:
+            own.out = None  # a thin polygon: the half-outside rule leaves nothing
+            best = solve(own, own.trim(box), budget, limit, allow_empty=True)
+        if not best.tiles:
+            raise SplitFailed("no solution within the polygon")
+        out += [t for t in best.tiles if own.count(t)]
+    return sorted(out, key=lambda t: (t.x0, t.y0))

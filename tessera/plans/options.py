@@ -48,6 +48,7 @@ class Options:
     search_limit: int = 200_000
     handle_element_version: str = "remove"
     ignore_osm_bounds: bool = False
+    status_freq: int = 120
 
     def check(self) -> Options:
         """Raises ValueError on a wrong value; options without effect here are warned about."""

@@ -130,7 +130,11 @@ _add(
     relation_tiles="SELECT rel, tile FROM rt",
     overlapping_tiles=f"SELECT a.tile AS a, b.tile AS b {_PAIR} WHERE a.tile < b.tile AND a.min_lat < a.max_lat AND b.min_lat < b.max_lat AND {_OVER.format(a='a', b='b')}",
     touching_tiles="SELECT a.tile AS a, b.tile AS b FROM tiles a, tiles b WHERE a.tile < b.tile AND a.min_lat <= b.max_lat AND a.max_lat >= b.min_lat AND a.min_lon <= b.max_lon AND a.max_lon >= b.min_lon",
-    distinct_area_map="""SELECT t.tile + 1000 AS area, s.tile FROM tiles t, small s WHERE t.min_lat + 5 >= s.min_lat AND t.max_lat - 5 <= s.max_lat AND t.min_lon >= s.min_lon AND t.min_lon + 20480 <= s.max_lon""",
+    distinct_area_map="""SELECT tiles, CAST(sum(size) AS BIGINT) AS size FROM (
+      SELECT string_agg(tile, ',' ORDER BY tile) AS tiles, any_value((lat1 - lat0) * (lon1 - lon0)) AS size
+      FROM (SELECT v AS lat0, lead(v) OVER (ORDER BY v) AS lat1 FROM (SELECT min_lat - tile % 3 * 500 AS v FROM tiles UNION SELECT max_lat FROM tiles)),
+           (SELECT v AS lon0, lead(v) OVER (ORDER BY v) AS lon1 FROM (SELECT min_lon AS v FROM tiles UNION SELECT max_lon + tile % 2 * 700 FROM tiles)), tiles
+      WHERE min_lat - tile % 3 * 500 <= lat0 AND lat1 <= max_lat AND min_lon <= lon0 AND lon1 <= max_lon + tile % 2 * 700 GROUP BY lat0, lon0) GROUP BY tiles""",
     city_in_tile="SELECT tile, id FROM city_tile",
     cities_by_latitude="SELECT id, country, name, lat, population FROM city",
     tile_names="SELECT tile, name FROM tiles LEFT JOIN best USING (tile)",

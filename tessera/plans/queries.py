@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes, geometry, tags, units
-from ..operators import assign, density, distribute, multitile, problems, solver
+from ..operators import assign, density, distribute, multitile, polygons, problems, solver
 from ..operators.lineage import cut
 from ..shipping import ship
 from ..streaming import events
+from ..sources import model, texts
 from ..sources.derived import TILE_LAT, TILE_LON, TILES, Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,10 +75,10 @@ def area_rounded(g: Graph) -> DataFrame:
 
 
 def _pairs(g: Graph) -> DataFrame:
-    """All pairs of the 64 test boxes: the operation under test is on pairs of a fixed, tiny set."""
-    a = _small_tiles(g).withColumnsRenamed({"tile": "a"}).withColumn("one", F.lit(1))
-    b = _small_tiles(g).withColumnsRenamed({"tile": "b", **{e: f"o_{e}" for e in boxes.EDGES}}).withColumn("one", F.lit(1))
-    return a.join(b, "one")
+    """Each test box with itself and the 63 that follow it, found by number."""
+    a = _small_tiles(g).withColumnsRenamed({"tile": "a"}).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(TILES * TILES - 1))))
+    b = _small_tiles(g).withColumnsRenamed({"tile": "b", **{e: f"o_{e}" for e in boxes.EDGES}})
+    return a.withColumn("b", (F.col("a") + F.col("b")) % (TILES * TILES)).join(b, "b")
 
 
 @query
@@ -87,8 +89,8 @@ def box_relations(g: Graph) -> DataFrame:
 
 @query
 def box_intersection(g: Graph) -> DataFrame:
-    cut = _pairs(g).select("a", "b", *boxes.select_box(boxes.intersection(boxes.box(), boxes.box("o_")), "i_"))
-    return cut.where("i_min_lat <= i_max_lat AND i_min_lon <= i_max_lon").select("a", "b", *[F.col(f"i_{e}").alias(e) for e in boxes.EDGES])
+    common = _pairs(g).select("a", "b", *boxes.select_box(boxes.intersection(boxes.box(), boxes.box("o_")), "i_"))
+    return common.where("i_min_lat <= i_max_lat AND i_min_lon <= i_max_lon").select("a", "b", *[F.col(f"i_{e}").alias(e) for e in boxes.EDGES])
 
 
 @query
@@ -111,7 +113,7 @@ def area_text(g: Graph) -> DataFrame:
 @query
 def node_validity(g: Graph) -> DataFrame:
     deg = F.pmod("event_id", F.lit(400)) - 200
-    return _long(g.table("events").where((deg < -180) | (deg > 180)).select(F.col("event_id").alias("id"), deg.cast("long").alias("lon")))
+    return _long(g.table("events").where(model.invalid(F.lit(0), deg)).select(F.col("event_id").alias("id"), deg.cast("long").alias("lon")))
 
 
 @query
@@ -128,10 +130,11 @@ def sea_raster(g: Graph) -> DataFrame:
 
 @query
 def aspect_ratio(g: Graph) -> DataFrame:
-    """Tile width to height, the wider of both parallels."""
-    low, high = (F.cos(F.radians(units.to_degrees(F.col(e)))) for e in ("min_lat", "max_lat"))
-    ratio = (F.col("max_lon") - F.col("min_lon")) * F.greatest(low, high) / (F.col("max_lat") - F.col("min_lat"))
-    return g.tiles.select("tile", F.round(ratio, 6).alias("ratio"))
+    """Tile width to height as the search takes it: at the wider of both parallels, or at the equator within."""
+    size = 1 << SHIFT
+    grid = solver.Grid(np.zeros((GRID[3] >> SHIFT, GRID[2] >> SHIFT), dtype=np.int64), SHIFT)
+    rows = [(r["tile"], float(grid.ratio(solver.Rect(*(r[e] // size for e in ("min_lon", "min_lat", "max_lon", "max_lat")))))) for r in g.tiles.collect()]
+    return g.spark.createDataFrame(rows, "tile long, ratio double").select("tile", F.round("ratio", 6).alias("ratio"))
 
 
 # ---- tags ----
@@ -216,7 +219,7 @@ def density_gaps(g: Graph) -> DataFrame:
 
 @query
 def density_dump(g: Graph) -> DataFrame:
-    return _cells(g).orderBy("x", "y").select(F.concat_ws(",", "x", "y", "n").alias("line"))
+    return texts.cell_lines(_cells(g))
 
 
 @query
@@ -338,10 +341,12 @@ def touching_tiles(g: Graph) -> DataFrame:
 
 @query
 def distinct_area_map(g: Graph) -> DataFrame:
-    """Working areas, halves of tiles, mapped to the real tiles that contain them."""
-    half = g.tiles.select((F.col("tile") + 1000).alias("area"), (F.col("min_lat") + 5).alias("min_lat"), F.col("min_lon"), (F.col("max_lat") - 5).alias("max_lat"), (F.col("min_lon") + TILE_LON // 2).alias("max_lon"))
-    real = _small_tiles(g).withColumnsRenamed({e: f"o_{e}" for e in boxes.EDGES}).withColumn("one", F.lit(1))
-    return half.withColumn("one", F.lit(1)).join(real, "one").where(boxes.contains_box(boxes.box("o_"), boxes.box())).select("area", "tile")
+    """Tiles that grow over their neighbours, cut to disjoint areas: size of the land by the set of tiles that cover it."""
+    t = F.col("tile")
+    grown = g.tiles.select("tile", (F.col("min_lat") - t % 3 * 500).alias("min_lat"), "min_lon", "max_lat", (F.col("max_lon") + t % 2 * 700).alias("max_lon"))
+    tiles = [texts.Tile(r["tile"], *(r[e] for e in boxes.EDGES)) for r in grown.orderBy("tile").collect()]
+    rows = [(",".join(str(tiles[i].map_id) for i in own), (a.max_lat - a.min_lat) * (a.max_lon - a.min_lon)) for a, own in polygons.distinct_areas(tiles)]
+    return g.spark.createDataFrame(rows, "tiles string, size long").groupBy("tiles").agg(F.sum("size").alias("size"))
 
 
 # ---- cities, names, lists ----
@@ -374,26 +379,29 @@ def map_ids(g: Graph) -> DataFrame:
     return _long(_numbered(g).select("tile", "map_id"))
 
 
+def _tile_list(g: Graph) -> list[texts.Tile]:
+    """The tiles as a run lists them, on the driver."""
+    named = _numbered(g).join(assign.named_tiles(g.cities, g.tiles), "tile").orderBy("map_id")
+    return [texts.Tile(r["map_id"], *(r[e] for e in boxes.EDGES), r["name"]) for r in named.collect()]
+
+
 @query
 def areas_list_rows(g: Graph) -> DataFrame:
-    b = [F.col(e).cast("string") for e in boxes.EDGES]
-    text = F.concat(units.tile_name(F.col("map_id")), F.lit(": "), b[0], F.lit(","), b[1], F.lit(" to "), b[2], F.lit(","), b[3])
-    return _numbered(g).select(text.alias("line"))
+    lines = [x for x in texts.areas_list(_tile_list(g)).splitlines() if x and not x.startswith("#")]
+    return g.spark.createDataFrame([(x,) for x in lines], "line string")
 
 
 @query
 def areas_list_parsed(g: Graph) -> DataFrame:
-    """Lines read back."""
-    p = r"^([0-9]{8}):\s*(-?[0-9]+),(-?[0-9]+) to (-?[0-9]+),(-?[0-9]+)$"
-    return areas_list_rows(g).select(*[F.regexp_extract("line", p, i + 1).cast("long").alias(c) for i, c in enumerate(("map_id", *boxes.EDGES))])
+    """The file's text, comments and all, read back."""
+    return texts.tiles_frame(g.spark, texts.parse_areas_list(texts.areas_list(_tile_list(g)))).select("map_id", *boxes.EDGES)
 
 
 @query
 def template_rows(g: Graph) -> DataFrame:
-    named = _numbered(g).join(assign.named_tiles(g.cities, g.tiles), "tile")
-    text = F.coalesce(F.concat(F.lit("description: "), F.substring("name", 1, 50)), F.lit("# description: OSM Map"))
-    return named.select(F.concat(F.lit("mapname: "), units.tile_name(F.col("map_id"))).alias("mapname"), text.alias("description"),
-                        F.concat(F.lit("input-file: "), units.tile_name(F.col("map_id")), F.lit(".osm.pbf")).alias("input_file"))
+    lines = texts.template_args(_tile_list(g)).splitlines()
+    starts = [i for i, x in enumerate(lines) if x.startswith("mapname")]
+    return g.spark.createDataFrame([tuple(lines[i : i + 3]) for i in starts], "mapname string, description string, input_file string")
 
 
 # ---- problems ----
@@ -425,9 +433,7 @@ def problem_ids_union(g: Graph) -> DataFrame:
 
 @query
 def problem_report(g: Graph) -> DataFrame:
-    ways = problem_ways(g).select(F.lit(0).alias("k"), F.col("way").alias("id"), F.concat(F.lit("way: "), F.col("way").cast("string"), F.lit(" #")).alias("line"))
-    rels = problem_relations(g).select(F.lit(1).alias("k"), F.col("rel").alias("id"), F.concat(F.lit("rel: "), F.col("rel").cast("string"), F.lit(" #")).alias("line"))
-    return ways.unionByName(rels).orderBy("k", "id").select("line")
+    return problems.report(problem_ways(g), problem_relations(g))
 
 
 @query

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import os
 import time
+import warnings
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import tags, units
-from ..operators import assign, density, distribute, polygons, solver
+from ..functions import boxes, tags, units
+from ..operators import assign, density, distribute, polygons, problems, solver
 from ..operators.lineage import cut
 from ..sinks.tiles import placed, write_tiles
 from ..sources import files, model, osm, texts
 from ..sources.texts import Ring, Tile
 from .options import Options
 
+#: Name, first map id and rings in map units.
+Polygons = list[tuple[str, int, list[Ring]]]
+#: A density file of this name in the current folder is used; each run writes its own beside the tiles.
+DENSITIES, DENSITIES_OUT = "densities.txt", "densities-out.txt"
+
 
 @dataclass
 class Run:
@@ -28,14 +35,13 @@ class Run:
     seconds: dict[str, float] = field(default_factory=dict)
 
 
-def _bounds(elements: DataFrame, points: DataFrame, ignore: bool) -> tuple[int, int, int, int]:
-    """The box of all bounds in the input, else of all nodes."""
-    edges = ("min_lat", "min_lon", "max_lat", "max_lon")
-    aggs = [(F.min if e.startswith("min") else F.max)(e).alias(e) for e in edges]
-    row = None if ignore else model.bounds(elements).agg(*aggs).first()
-    if row is None or row[0] is None:
-        row = density.data_box(points).first()
-    return (0, 0, 0, 0) if row[0] is None else tuple(int(row[e]) for e in edges)
+def _box(row: Row) -> tuple[int, int, int, int] | None:
+    return None if row[0] is None else tuple(int(row[e]) for e in boxes.EDGES)
+
+
+def _bounds(elements: DataFrame) -> tuple[int, int, int, int] | None:
+    """The box of all bounds in the input."""
+    return _box(boxes.union_box(model.bounds(elements)).first())
 
 
 def _aligned(box: tuple[int, int, int, int], shift: int) -> tuple[int, int, int, int]:
@@ -60,21 +66,29 @@ def polygon_descriptions(spark: SparkSession, path: str, resolution: int) -> lis
     return [(r["name"], r["mapid"], [Ring([(float(p["x"]), float(p["y"])) for p in r["p"]])]) for r in rows]
 
 
-def calculate_tiles(spark: SparkSession, o: Options, elements: DataFrame, points: DataFrame) -> list[Tile]:
+def calculate_tiles(spark: SparkSession, o: Options, elements: DataFrame, points: DataFrame) -> tuple[list[Tile], Polygons]:
+    """Tiles, and the polygons they were calculated for. With num-tiles polygons do not bound them."""
     shift = 24 - o.resolution
-    if o.density_file:
-        box, cells = texts.read_density(spark, o.density_file)
+    given = o.density_file or (os.path.abspath(DENSITIES) if files.exists(DENSITIES) else None)
+    if given:
+        box, cells = texts.read_density(spark, given)
     else:
-        box = _bounds(elements, points, o.ignore_osm_bounds)
-    polys: list[tuple[str, int, list[Ring]]] = []
+        nodes, bounds = _box(density.data_box(points).first()), None if o.ignore_osm_bounds else _bounds(elements)
+        if nodes is None:
+            return [], []
+        box = bounds or nodes
+    polys: Polygons = []
     if o.polygon_file:
         name, rings = texts.parse_poly(files.read_text(o.polygon_file))
         polys = [(name, o.mapid, _rings_in_units(rings))]
     elif o.polygon_desc_file:
         polys = polygon_descriptions(spark, o.polygon_desc_file, o.resolution)
     box = _aligned(box, shift)
-    if not o.density_file:
-        cells = density.density(points, shift, box)
+    if not given:
+        cells = cut(density.density(points, shift, box))
+        files.write_lines(f"{o.output_dir}/{DENSITIES_OUT}", texts.density_lines(nodes, cells, bounds))
+    if any(polygons.too_complex(r, shift) for _, _, r in polys):
+        warnings.warn("a bounding polygon is complex: the split may not follow it closely", stacklevel=2)
     if o.precomp_sea:
         index = texts.sea_index(spark, f"{o.precomp_sea}/index.txt.gz")
         names = [r["what"] for r in texts.sea_files(index, box).collect()]  # raster files of one map: a few thousand at most
@@ -91,20 +105,27 @@ def calculate_tiles(spark: SparkSession, o: Options, elements: DataFrame, points
             return solver.split_to(g, o.num_tiles, o.search_limit, not o.no_trim)
         return solver.split(g, o.max_nodes, o.search_limit, not o.no_trim)
 
-    if polys:
+    of: list[list[Ring]] = []
+    if polys and not o.num_tiles:
         # Cells are shared out by the set of polygons that cover them; each share is split on its own.
         layers = np.stack([polygons.rasterise(r, box[0], box[1], width, height, shift) for _, _, r in polys])
         code = np.zeros(layers.shape[1:], dtype=object)
         for i, layer in enumerate(layers):
             code[layer] += 1 << i
-        rects = [r for c in sorted(set(code.ravel()) - {0}) for r in solved(solver.Grid(grid.counts, shift, grid.row0, code == c))]
+        rects = []
+        for c in sorted(set(code.ravel()) - {0}):
+            found = solved(solver.Grid(grid.counts, shift, grid.row0, code == c))
+            rects += found
+            of += [polys[c.bit_length() - 1][2] if c & (c - 1) == 0 else []] * len(found)
     else:
         rects = solved(grid)
     size = 1 << shift
     tiles = [Tile(o.mapid + i, box[0] + r.y0 * size, box[1] + r.x0 * size, box[0] + r.y1 * size, box[1] + r.x1 * size) for i, r in enumerate(rects)]
+    # A tile of one polygon ends at its border where that leaves a rectangle.
+    tiles = [polygons.cut_to(r, t) if r else t for t, r in zip(tiles, of)] if of else tiles
     if tiles and tiles[-1].map_id > 99_999_999:
         raise ValueError("the map ids of the tiles go beyond 99999999")
-    return tiles
+    return tiles, polys
 
 
 def _named(spark: SparkSession, o: Options, tiles: list[Tile]) -> list[Tile]:
@@ -112,24 +133,31 @@ def _named(spark: SparkSession, o: Options, tiles: list[Tile]) -> list[Tile]:
     if o.geonames_file and tiles:
         named = assign.named_tiles(texts.read_cities(spark, o.geonames_file), texts.tiles_frame(spark, tiles).drop("name"))
         names = {r["tile"]: r["name"] for r in named.collect()}
+        bad = texts.bad_cities(spark, o.geonames_file)
+        if some := bad.limit(3).collect():
+            warnings.warn(f"{bad.count()} lines of {o.geonames_file} are no cities, such as: {'; '.join(r['value'][:80] for r in some)}", stacklevel=2)
     return [replace(t, name=names.get(i) or t.name or o.description) for i, t in enumerate(tiles)]
 
 
-def _write_lists(o: Options, tiles: list[Tile]) -> None:
-    out = {"areas.list": texts.areas_list(tiles), "areas.poly": texts.poly("area", [Ring([(x * texts.UNIT, y * texts.UNIT) for x, y in r.points], r.hole) for r in polygons.outline(tiles)]),
-           "template.args": texts.template_args(tiles, o.output)}
+def _outline(tiles: list[Tile]) -> str:
+    return texts.poly("area", [Ring([(x * texts.UNIT, y * texts.UNIT) for x, y in r.points], r.hole) for r in polygons.outline(tiles)])
+
+
+def _write_lists(o: Options, tiles: list[Tile], polys: Polygons) -> None:
+    """Lists of all tiles; for each polygon own ones of the tiles that meet it, named and numbered by it."""
+    out = {"areas.list": texts.areas_list(tiles), "areas.poly": _outline(tiles), "template.args": texts.template_args(tiles, o.output)}
     if o.write_kml:
         out[o.write_kml] = texts.areas_kml(tiles)
+    for polygon, first_id, rings in polys:
+        own = [t for t in tiles if polygons.meets(rings, t)]
+        out |= {f"{polygon}-areas.poly": _outline(own), f"{polygon}-template.args": texts.template_args(own, o.output, first_id)}
+        if o.write_kml:
+            folder, _, kml = o.write_kml.rpartition("/")
+            out[f"{folder}/{polygon}-{kml}" if folder else f"{polygon}-{kml}"] = texts.areas_kml(own)
     for name, text in out.items():
         files.write_bytes(f"{o.output_dir}/{name}", text.encode("utf-8"))
 
 
-def list_files(o: Options, tiles: list[Tile], name: str, rings: list[Ring]) -> list[Tile]:
-    """Own lists of the tiles that meet a polygon."""
-    own = [t for t in tiles if polygons.meets(rings, t)]
-    for ending, text in (("poly", texts.poly(name, rings)), ("kml", texts.areas_kml(own)), ("args", texts.template_args(own, o.output))):
-        files.write_bytes(f"{o.output_dir}/{name}.{ending}", text.encode("utf-8"))
-    return own
 
 
 def elements_of(e: DataFrame, o: Options) -> distribute.Elements:
@@ -155,11 +183,11 @@ def run(spark: SparkSession, o: Options) -> Run:
     points = model.nodes(elements).select("id", "mlat", "mlon")
     lap("read")
     if o.split_file:
-        tiles = texts.read_areas(o.split_file)
+        tiles, polys = texts.read_areas(o.split_file), []
     else:
-        tiles = calculate_tiles(spark, o, elements, points)
+        tiles, polys = calculate_tiles(spark, o, elements, points)
     out.tiles = tiles = _named(spark, o, tiles)
-    _write_lists(o, tiles)
+    _write_lists(o, tiles, polys)
     lap("tile calculation")
     if o.stop_after == "split" or not tiles:
         return out
@@ -170,7 +198,7 @@ def run(spark: SparkSession, o: Options) -> Run:
         areas = [(a, own[0]) for a, own in polygons.distinct_areas(tiles)] + [(a, None) for a in polygons.pseudo_areas(tiles)]
         rows = [(i, a.min_lat, a.min_lon, a.max_lat, a.max_lon, real) for i, (a, real) in enumerate(areas)]
         working = spark.createDataFrame(rows, "tile long, min_lat long, min_lon long, max_lat long, max_lon long, real long")
-        closed = [(",".join(map(str, s)),) for s in polygons.rectangle_unions(tiles)] if len(tiles) <= 500 else []
+        closed = [(",".join(map(str, s)),) for s in polygons.rectangle_unions(tiles)]
         uncrossable = spark.createDataFrame(closed, "tiles string") if closed else None
         user_ways = user_relations = None
         if o.problem_file:
@@ -178,9 +206,8 @@ def run(spark: SparkSession, o: Options) -> Run:
             user_ways, user_relations = spark.createDataFrame([(x,) for x in w], "way long"), spark.createDataFrame([(x,) for x in r], "rel long")
         out.tiled = distribute.distribute_complete(e, frame, working, o.grown_by, user_ways, user_relations, uncrossable)
         if o.problem_report:
-            lines = [f"way: {r['way']} #" for r in out.tiled.problem_ways.orderBy("way").toLocalIterator()]
-            lines += [f"rel: {r['rel']} #" for r in out.tiled.problem_relations.orderBy("rel").toLocalIterator()]
-            files.write_bytes(f"{o.output_dir}/{o.problem_report}", ("\n".join(lines) + "\n").encode())
+            lines = problems.report(out.tiled.problem_ways, out.tiled.problem_relations).toLocalIterator()
+            files.write_lines(f"{o.output_dir}/{o.problem_report}", (r["line"] for r in lines))
         lap("problem list and multi-tile")
         if o.stop_after != "dist":
             return out

@@ -6,6 +6,7 @@ import bz2
 import gzip
 import io
 import zipfile
+from collections.abc import Iterable
 from pathlib import PurePosixPath
 from typing import BinaryIO
 
@@ -40,6 +41,20 @@ def read_text(path: str) -> str:
     return read_bytes(path).decode("utf-8")
 
 
+def write_lines(path: str, lines: Iterable[str]) -> None:
+    """Line by line, however many there are."""
+    system, name = _resolve(path)
+    system.create_dir(str(PurePosixPath(name).parent), recursive=True)
+    with system.open_output_stream(name, compression=None) as f:
+        for line in lines:
+            f.write(line.encode("utf-8") + b"\n")
+
+
+def exists(path: str) -> bool:
+    system, name = _resolve(path)
+    return system.get_file_info(name).type == fs.FileType.File
+
+
 def write_bytes(path: str, data: bytes) -> None:
     system, name = _resolve(path)
     system.create_dir(str(PurePosixPath(name).parent), recursive=True)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import boxes
 from ..functions.tags import clean
 from ..functions.units import to_map_unit
 
@@ -15,9 +16,14 @@ ELEMENT = f"kind string, id bigint, version int, lat double, lon double, lat2 do
 COLUMNS = ["kind", "id", "version", "lat", "lon", "lat2", "lon2", "refs", "members", "tags", "file_seq", "elem_seq"]
 
 
+def invalid(lat: Column, lon: Column) -> Column:
+    """Coordinates beyond the globe, at which a run stops."""
+    return (F.abs(lat) > 90) | (F.abs(lon) > 180)
+
+
 def nodes(elements: DataFrame) -> DataFrame:
     n = elements.where("kind = 'n' AND lat IS NOT NULL AND lon IS NOT NULL AND id IS NOT NULL")
-    bad = (F.abs("lat") > 90) | (F.abs("lon") > 180)
+    bad = invalid(F.col("lat"), F.col("lon"))
     lat = F.when(bad, F.raise_error(F.concat(F.lit("invalid coordinates of node "), F.col("id").cast("string"))).cast("double")).otherwise(F.col("lat"))
     return n.select("id", "version", lat.alias("lat"), "lon", to_map_unit(F.col("lat")).alias("mlat"), to_map_unit(F.col("lon")).alias("mlon"), clean(F.col("tags")).alias("tags"), "file_seq", "elem_seq")
 
@@ -32,9 +38,12 @@ def relations(elements: DataFrame) -> DataFrame:
 
 
 def bounds(elements: DataFrame) -> DataFrame:
-    b = elements.where("kind = 'b'")
+    """Boxes the input names; an invalid one raises."""
     edges = {"min_lat": "lat", "min_lon": "lon", "max_lat": "lat2", "max_lon": "lon2"}
-    return b.select("file_seq", *[to_map_unit(F.col(c)).alias(e) for e, c in edges.items()])
+    b = elements.where("kind = 'b'").select("file_seq", *[to_map_unit(F.col(c)).alias(e) for e, c in edges.items()])
+    text = F.concat(F.lit("invalid bounds in the input: "), F.concat_ws(",", *edges))
+    checked = F.when(boxes.valid(boxes.box()), F.col("min_lat")).otherwise(F.raise_error(text).cast("int"))
+    return b.select("file_seq", checked.alias("min_lat"), "min_lon", "max_lat", "max_lon")
 
 
 def way_refs(w: DataFrame) -> DataFrame:

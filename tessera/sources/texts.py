@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.units import WORLD_LAT, WORLD_LON
+from ..functions.units import WORLD_LAT, WORLD_LON, to_map_unit
 from .files import read_text
 
 UNIT = 360.0 / (1 << 24)
@@ -100,13 +101,12 @@ def tiles_frame(spark: SparkSession, tiles: list[Tile]) -> DataFrame:
 
 
 def template_args(tiles: list[Tile], output: str = "pbf", first_id: int | None = None) -> str:
-    """Map compiler arguments by tile."""
+    """Map compiler arguments by tile; with ``first_id`` tiles are numbered from there, a multiple of 100 raised by one."""
     ending = {"xml": ".osm.gz", "o5m": ".o5m"}.get(output, ".osm.pbf")
     out = ["# Options for the tiles", ""]
-    number = first_id if first_id is not None else tiles[0].map_id if tiles else 0
-    number += number % 100 == 0
-    for t in tiles:
-        out += [f"mapname: {t.map_id:08d}", f"description: {t.name[:50]}" if t.name else "# description: OSM Map", f"input-file: {t.map_id:08d}{ending}", ""]
+    start = None if first_id is None else first_id + (first_id % 100 == 0)
+    for i, t in enumerate(tiles):
+        out += [f"mapname: {t.map_id if start is None else start + i:08d}", f"description: {t.name[:50]}" if t.name else "# description: OSM Map", f"input-file: {t.map_id:08d}{ending}", ""]
     return "\n".join(out)
 
 
@@ -172,23 +172,39 @@ def read_density(spark: SparkSession, path: str) -> tuple[tuple[int, ...], DataF
     return tuple(int(x) for x in re.findall(r"-?[0-9]+", chosen)[:4]), cells
 
 
-def density_text(box: tuple[int, ...], cells: DataFrame, bounds: tuple[int, ...] | None = None) -> str:
-    """x-major, empty cells left out. A grid has at most a few million cells."""
-    head = [",".join(map(str, box)), ",".join(map(str, bounds)) if bounds else "no_bounds_in_input"]
-    rows = cells.where("n > 0").orderBy("x", "y").toLocalIterator()
-    return "\n".join([*head, *[f"{r['x']},{r['y']},{r['n']}" for r in rows]]) + "\n"
+def density_lines(box: tuple[int, ...], cells: DataFrame, bounds: tuple[int, ...] | None = None) -> Iterator[str]:
+    """The box of the nodes, the bounds the input names, then x-major cells, empty ones left out."""
+    yield ",".join(map(str, box))
+    yield ",".join(map(str, bounds)) if bounds else "no_bounds_in_input"
+    for r in cell_lines(cells).toLocalIterator():
+        yield r["line"]
+
+
+def cell_lines(cells: DataFrame) -> DataFrame:
+    return cells.where("n > 0").orderBy("x", "y").select(F.concat_ws(",", "x", "y", "n").alias("line"))
 
 
 def read_cities(spark: SparkSession, path: str) -> DataFrame:
-    """(id, country, name, lat, lon, population) of a GeoNames table; bad lines go."""
-    from ..functions.units import to_map_unit
+    """(id, country, name, lat, lon, population) of a GeoNames table; bad lines go, ``bad_cities`` tells them."""
+    c = _city_lines(spark, path).where(_CITY).drop("value")
+    return c.select("id", "country", "name", to_map_unit(F.col("y")).alias("lat"), to_map_unit(F.col("x")).alias("lon"), "population")
+
+
+def bad_cities(spark: SparkSession, path: str) -> DataFrame:
+    """(value): lines of a GeoNames table that are no city."""
+    return _city_lines(spark, path).where(~F.coalesce(F.expr(_CITY), F.lit(False))).select("value")
 
+
+_CITY = "id IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL AND population IS NOT NULL"
+
+
+def _city_lines(spark: SparkSession, path: str) -> DataFrame:
     cut = F.split("value", "\t")
-    c = spark.read.text(path).select(
+    return spark.read.text(path).select(
+        "value",
         cut[0].try_cast("long").alias("id"), F.get(cut, F.lit(8)).alias("country"), F.get(cut, F.lit(2)).alias("name"),
         F.get(cut, F.lit(4)).try_cast("double").alias("y"), F.get(cut, F.lit(5)).try_cast("double").alias("x"), F.get(cut, F.lit(14)).try_cast("long").alias("population"),
-    ).where("id IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL AND population IS NOT NULL")
-    return c.select("id", "country", "name", to_map_unit(F.col("y")).alias("lat"), to_map_unit(F.col("x")).alias("lon"), "population")
+    )
 
 
 SEA_RASTER = 15

@@ -140,7 +140,7 @@ def test_poly_problem_ids_density(spark, tmp_path):
         texts.parse_problem_ids("way 12\n")
     cells = spark.createDataFrame([(1, 2, 3), (0, 5, 7), (0, 1, 0)], "x int, y int, n long")
     path = tmp_path / "densities.txt"
-    path.write_text(texts.density_text((0, 0, 9, 9), cells))
+    path.write_text("\n".join([*texts.density_lines((0, 0, 9, 9), cells), ""]))
     box, back = texts.read_density(spark, str(path))
     assert box == (0, 0, 9, 9) and sorted(map(tuple, back.collect())) == [(0, 5, 7), (1, 2, 3)]
 

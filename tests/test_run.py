@@ -3,13 +3,15 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions import tags
 from tessera.operators import assign, multitile
 from tessera.plans.options import Options, parse
 from tessera.plans.run import polygon_descriptions, run
 from tessera.sinks.codecs import ENCODERS
-from tessera.sources import files, osm
-from tessera.sources.texts import read_areas
+from tessera.sources import files, model, osm, texts
+from tessera.sources.texts import parse_poly, read_areas
 
 BOX = (49.0, 7.0, 51.0, 9.0)
 
@@ -78,8 +80,47 @@ def test_plain_run_and_parquet(spark, map_file, tmp_path):
 def test_wanted_tiles_and_polygon(spark, map_file, tmp_path):
     assert len(run(spark, Options([map_file], num_tiles=4, output_dir=str(tmp_path), stop_after="split")).tiles) in (3, 4, 5)
     (tmp_path / "a.poly").write_text("a\n1\n 7 49\n 8 49\n 8 50\n 7 50\nEND\nEND\n")
-    tiles = run(spark, Options([map_file], max_nodes=10_000, polygon_file=str(tmp_path / "a.poly"), output_dir=str(tmp_path), stop_after="split")).tiles
+    o = Options([map_file], mapid=63240100, max_nodes=10_000, polygon_file=str(tmp_path / "a.poly"), output_dir=str(tmp_path), stop_after="split", write_kml="t.kml")
+    tiles = run(spark, o).tiles
     assert tiles and all(t.max_lon * 360 / 2**24 < 8.2 for t in tiles)
+    # the polygon is a box, so tiles end exactly at it
+    assert {max(t.max_lat for t in tiles), max(t.max_lon for t in tiles)} <= {round(50 * 2**24 / 360), round(8 * 2**24 / 360)}
+    assert [t.map_id for t in read_areas(str(tmp_path / "a-t.kml"))] == [t.map_id for t in tiles]
+    lines = (tmp_path / "a-template.args").read_text().splitlines()
+    assert [x for x in lines if x.startswith("mapname")] == [f"mapname: {63240101 + i:08d}" for i in range(len(tiles))]
+    assert parse_poly((tmp_path / "a-areas.poly").read_text())[1]
+
+
+def test_densities_are_written_and_reused(spark, map_file, tmp_path, monkeypatch):
+    first = run(spark, Options([map_file], max_nodes=10_000, output_dir=str(tmp_path / "a"), stop_after="split")).tiles
+    text = (tmp_path / "a" / "densities-out.txt").read_text().splitlines()
+    assert sum(int(x.split(",")[2]) for x in text[2:]) == 24_000
+    by_option = run(spark, Options([map_file], max_nodes=10_000, output_dir=str(tmp_path / "b"), stop_after="split", density_file=str(tmp_path / "a" / "densities-out.txt"))).tiles
+    (tmp_path / "a" / "densities-out.txt").rename(tmp_path / "densities.txt")
+    monkeypatch.chdir(tmp_path)
+    by_name = run(spark, Options([map_file], max_nodes=10_000, output_dir=str(tmp_path / "c"), stop_after="split")).tiles
+    assert first == by_option == by_name and not (tmp_path / "c" / "densities-out.txt").exists()
+
+
+def test_invalid_bounds_and_bad_cities(spark, tmp_path):
+    rows = [("b", 5.0, 1.0, 2.0, 3.0)]
+    with pytest.raises(Exception, match="invalid bounds"):
+        model.bounds(spark.createDataFrame([(*r, 0) for r in rows], "kind string, lat double, lon double, lat2 double, lon2 double, file_seq int")).collect()
+    good = "\t".join(["1", "A", "A", "", "1.5", "2.5", "P", "PPL", "DE", "", "", "", "", "", "100"])
+    (tmp_path / "c.txt").write_text(good + "\nno city\n\n")
+    assert texts.read_cities(spark, str(tmp_path / "c.txt")).count() == 1
+    assert [r["value"] for r in texts.bad_cities(spark, str(tmp_path / "c.txt")).collect()] == ["no city", ""]
+
+
+def test_all_of_repeated_tags_count(spark):
+    cases = [
+        ([("type", "x"), ("type", "restriction")], True), ([("type", "multipolygon"), ("boundary", "political"), ("boundary", "park")], False),
+        ([("type", "multipolygon"), ("boundary", "park"), ("admin_level", "4")], True), ([("type", "multipolygon"), ("boundary", "political"), ("admin_level", "3"), ("admin_level", "6")], True),
+        ([("boundary", "park")], False), ([], False), ([("type", "boundary")], True),
+    ]
+    df = spark.createDataFrame([(i, [{"k": k, "v": v} for k, v in t]) for i, (t, _) in enumerate(cases)], "i int, tags array<struct<k:string,v:string>>")
+    got = df.select("i", tags.wanted_relation(F.col("tags")).alias("used")).orderBy("i").collect()
+    assert [r["used"] for r in got] == [used for _, used in cases]
 
 
 def test_polygon_descriptions(spark, tmp_path):
@@ -97,7 +138,7 @@ def test_missing_input_writes_nothing(spark, tmp_path):
 
 
 def test_options():
-    o = parse(["--max-nodes=1_000_000", "--keep-complete=false", "--no-trim", "a.pbf", "--boundary-tags=national_park, political"])
+    o = parse(["--status-freq=0", "--max-nodes=1_000_000", "--keep-complete=false", "--no-trim", "a.pbf", "--boundary-tags=national_park, political"])
     assert (o.max_nodes, o.keep_complete, o.no_trim, o.files, o.boundaries) == (1_000_000, False, True, ["a.pbf"], ("national_park", "political"))
     for bad in ("--mapid=100000000", "--max-nodes=9", "--num-tiles=1", "--resolution=25", "--max-areas=0", "--search-limit=9", "--wanted-admin-level=13", "--output=pb", "--stop-after=x", "--handle-element-version=y"):
         with pytest.raises(ValueError):

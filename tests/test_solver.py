@@ -113,3 +113,65 @@ def test_rasterise_and_meets():
     hit = P.rasterise(r, 0, 0, 8, 8, 3)
     assert hit[0, 0] and hit[4, 4] and hit[4, 0] and not hit[0, 4]
     assert P.meets(r, Tile(1, 0, 0, 5, 5)) and not P.meets(r, Tile(1, 30, 0, 39, 9))
+
+
+def test_polygon_is_cut_at_its_corners():
+    """An L and a separate square: tiles cover exactly the cells with nodes within, none lies outside."""
+    inside = np.zeros((40, 40), dtype=bool)
+    inside[2:30, 2:12] = inside[2:12, 2:30] = inside[32:38, 32:38] = True
+    assert [int(m.sum()) for m in sorted(S._pieces(inside), key=lambda m: m.sum())] == [36, 460]
+    assert len(S._corners(inside, S.Rect(2, 2, 30, 30))) == 6
+    grid = S.Grid(np.full((40, 40), 50), 11, 0, inside)
+    tiles = S.split_polygon(grid, 5000)
+    cover = np.zeros((40, 40), dtype=int)
+    for t in tiles:
+        cover[t.x0 : t.x1, t.y0 : t.y1] += 1
+    assert (cover == inside).all() and all(t.cells * 50 <= 5000 for t in tiles)
+
+
+def test_pieces_of_random_masks():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        mask = rng.random((12, 9)) < 0.55
+        label, n = np.zeros(mask.shape, int), 0
+        for cell in map(tuple, np.argwhere(mask)):
+            if label[cell]:
+                continue
+            n, stack = n + 1, [cell]
+            while stack:
+                x, y = stack.pop()
+                if 0 <= x < 12 and 0 <= y < 9 and mask[x, y] and not label[x, y]:
+                    label[x, y] = n
+                    stack += [(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)]
+        assert sorted(p.tobytes() for p in S._pieces(mask)) == sorted((label == k).tobytes() for k in range(1, n + 1))
+
+
+def test_tiles_end_at_the_polygon():
+    ring = [Ring([(15.0, 5.0), (95.0, 5.0), (95.0, 95.0), (15.0, 95.0), (15.0, 5.0)])]
+    cut = P.cut_to(ring, Tile(1, 0, 0, 50, 50))
+    assert (cut.min_lat, cut.min_lon, cut.max_lat, cut.max_lon) == (5, 15, 50, 50)
+    slanted = [Ring([(0.0, 0.0), (50.0, 0.0), (0.0, 50.0), (0.0, 0.0)])]
+    assert P.cut_to(slanted, Tile(1, 0, 0, 50, 50)) == Tile(1, 0, 0, 50, 50)
+    hole = [*ring, Ring([(20.0, 20.0), (30.0, 20.0), (30.0, 30.0), (20.0, 20.0)], hole=True)]
+    assert P.cut_to(hole, Tile(1, 0, 0, 50, 50)) == Tile(1, 0, 0, 50, 50)
+    assert P.cut_to(ring, Tile(1, 0, 100, 50, 150)) == Tile(1, 0, 100, 50, 150)
+
+
+def test_complex_polygons():
+    assert P.too_complex([Ring([(0.0, 0.0), (100.0, 100.0), (0.0, 100.0), (0.0, 0.0)])], 2)
+    assert not P.too_complex([Ring([(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 0.0)])], 3)
+
+
+def test_large_grids_are_refused():
+    with pytest.raises(ValueError):
+        S.Grid.from_cells(None, 0, 1 << 16, 1 << 16)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=4), st.lists(st.integers(1, 3), min_size=1, max_size=3))
+def test_rectangle_unions_are_all_rectangles_of_a_grid(heights, widths):
+    ys, xs = np.concatenate([[0], np.cumsum(heights)]), np.concatenate([[0], np.cumsum(widths)])
+    tiles = [Tile(1, int(ys[i]), int(xs[j]), int(ys[i + 1]), int(xs[j + 1])) for i in range(len(heights)) for j in range(len(widths))]
+    w = len(widths)
+    want = [tuple(i * w + j for i in range(a, b) for j in range(c, d)) for a in range(len(heights)) for b in range(a + 1, len(heights) + 1) for c in range(w) for d in range(c + 1, w + 1)]
+    assert P.rectangle_unions(tiles) == sorted(s for s in want if 2 <= len(s) <= P.MAX_SET)
