@@ -8,12 +8,14 @@ that is broken off, an address in another spelling.
 Nodes of the field are the tokens (runs without white space) that hold a digit
 or ``@``; any other token cannot hold such data and is outside. Its parts:
 
-* node scores: log-linear in the token's shape, length and left neighbour,
-  fitted with the base spans as labels on a bounded sample;
+* node scores: log-linear in the token's shape, length and left neighbour;
 * chain potentials between nodes that stand side by side;
 * skip potentials between consecutive occurrences, anywhere in the document,
   of equal tokens or of tokens that end in the same seven digits.
 
+All weights are fitted together by pseudo-likelihood, with the base spans as labels, on a
+bounded sample of documents.
+
 Loopy sum-product message passing (flooding, damped, a fixed number of rounds)
 runs over all documents of a chunk at once as arrays. Skip edges link only
 consecutive occurrences, so a token repeated n times has n - 1 edges and costs
@@ -26,7 +28,10 @@ documents with the least hash of their id, whose nodes (not texts) come to the
 driver; the weights are a few thousand numbers.
 
 Defined results: null is an empty text; repeated rows are judged one by one;
-offsets are code points, end exclusive; an empty table fits zero weights.
+offsets are code points, end exclusive; an empty table fits zero weights; very long texts
+and tokens are read whole; kinds that match in one place are all kept; of beliefs that
+tie the first kind as listed counts; further columns are not read, whatever their names
+(a redaction keeps them).
 """
 
 from __future__ import annotations
@@ -48,6 +53,8 @@ SAMPLE_DOCS = 2000
 ROUNDS = 8
 DAMPING = 0.5
 EVIDENCE = 8.0
+PENALTY = 0.05
+LEAST_SKIP = 2.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -125,7 +132,7 @@ class Nodes:
 
 
 def _shape(token: str) -> str:
-    return re.sub(r"([A-Za-z9])\1+", r"\1\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", token[:40])))[:16]
+    return re.sub(r"([A-Za-z9])\1+", r"\1\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", token)))
 
 
 def add_nodes(nodes: Nodes, doc: int, text: str, base: list[tuple[int, int, str]]) -> None:
@@ -149,8 +156,7 @@ def add_nodes(nodes: Nodes, doc: int, text: str, base: list[tuple[int, int, str]
             nodes.chain.append((n - 1, n))
             left = nodes.features[-1][0]
         else:
-            left = before[-24:].split()[-1:] or [""]
-            left = left[0][-12:].lower()
+            left = (before.rsplit(None, 1) or [""])[-1].lower()
         nodes.doc.append(doc)
         nodes.start.append(start)
         nodes.end.append(end)
@@ -176,34 +182,38 @@ class Field:
 
 
 def fit(labels: list[int], features: list[tuple[str, ...]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], steps: int = 120) -> Field:
-    """Node weights by multinomial logistic regression, potentials from counts of label pairs."""
-    n_labels = len(LABELS)
+    """All weights of the field together, by pseudo-likelihood: each node given the labels of its neighbours."""
+    n, k = len(labels), len(LABELS)
     names = sorted({f for fs in features for f in fs})
     at = {f: i for i, f in enumerate(names)}
-    y = np.eye(n_labels)[np.asarray(labels, dtype=int)] if labels else np.zeros((0, n_labels))
-    x = np.array([[at[f] for f in fs] for fs in features], dtype=int).reshape(len(features), len(features[0]) if features else 0)
-    weights = np.zeros((len(names), n_labels))
-    bias = np.log(y.sum(0) + 1) - np.log(len(y) + n_labels)
-    g2 = np.full_like(weights, 1e-6)
-    for _ in range(steps if labels else 0):
-        z = weights[x].sum(1) + bias
+    y = np.asarray(labels, dtype=int)
+    x = np.array([[at[f] for f in fs] for fs in features], dtype=int).reshape(n, len(features[0]) if features else 0)
+    (left, right), (one, two) = (np.array(e, dtype=int).reshape(-1, 2).T for e in (chain, skip))
+    known = np.eye(k)[y]
+    alike = np.zeros((n, k))  # labels of the neighbours over skip edges
+    np.add.at(alike, one, known[two])
+    np.add.at(alike, two, known[one])
+    unary, bias = np.zeros((len(names), k)), np.log(known.sum(0) + 1) - np.log(n + k)
+    side, same = np.zeros((k, k)), np.zeros(1)
+    params = [unary, bias, side, same]
+    squares = [np.full_like(v, 1e-6) for v in params]
+    for _ in range(steps if n else 0):
+        z = unary[x].sum(1) + bias + same * alike
+        np.add.at(z, right, side[y[left]])
+        np.add.at(z, left, side.T[y[right]])
         p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        grad = 0.05 * weights
+        off = p / p.sum(1, keepdims=True) - known
+        by_feature, by_side = PENALTY * unary, PENALTY * side
         for j in range(x.shape[1]):
-            np.add.at(grad, x[:, j], p - y)
-        g2 += grad**2
-        weights -= 0.5 * grad / np.sqrt(g2)
-    counts = np.ones((n_labels, n_labels))
-    for i, j in chain:
-        counts[labels[i], labels[j]] += 1
-    share = np.bincount(labels, minlength=n_labels) + 1.0 if labels else np.ones(n_labels)
-    share /= share.sum()
-    pmi = np.clip(np.log(counts / counts.sum()) - np.log(share)[:, None] - np.log(share)[None, :], -3, 3)
-    same = sum(labels[i] == labels[j] for i, j in skip)
-    # Between tokens that are alike the potential is the log odds of agreement, at least 2: copies are consistent.
-    weight = max(2.0, float(np.log((same + 1) / (len(skip) - same + 1))))
-    return Field({f: weights[i] for f, i in at.items()}, bias, pmi, weight * np.eye(n_labels))
+            np.add.at(by_feature, x[:, j], off)
+        np.add.at(by_side, y[left], off[right])
+        np.add.at(by_side.T, y[right], off[left])
+        grads = [by_feature, off.sum(0), by_side, PENALTY * same + (off * alike).sum()]
+        for v, g, g2 in zip(params, grads, squares):
+            g2 += g**2
+            v -= 0.5 * g / np.sqrt(g2)
+    # Between tokens that are alike agreement weighs at least ``LEAST_SKIP``, also where the sample has few of them.
+    return Field({f: unary[i] for f, i in at.items()}, bias, side, max(LEAST_SKIP, float(same[0])) * np.eye(k))
 
 
 def marginals(nodes: Nodes, model: Field) -> np.ndarray:
@@ -270,9 +280,10 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], model
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field:
-    """Fit on the sample of documents with the least hash of their id."""
-    ids = docs.select(F.col(id_col).alias("i")).where("i IS NOT NULL").orderBy(F.xxhash64("i"), "i").limit(sample_docs)
-    sample = docs.where(F.col(id_col).isin([r["i"] for r in ids.collect()]))
+    """Fit on the sample of documents with the least hash of their id, one row an id (the least text)."""
+    ids = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
+    texts = docs.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi")  # sample_docs ids
+    sample = texts.groupBy(id_col).agg(F.min(text_col).alias(text_col))
 
     def per_batch(ids: list, texts: list) -> dict:
         out: dict = {"labels": [], "features": [], "chain": [], "skip": []}

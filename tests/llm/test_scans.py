@@ -88,6 +88,49 @@ def test_long_tokens_link_by_the_digits_of_their_end():
     assert nodes.skip == [(of[f"1111111{x}5553824"], of[f"2222222{y}5553824"])]
 
 
+def test_fit_is_the_pseudo_likelihood_optimum(monkeypatch):
+    """The plain sum over nodes grows with any step away from the fitted potentials."""
+    import numpy as np
+
+    monkeypatch.setattr(pii, "LEAST_SKIP", -10.0)
+    rng = np.random.default_rng(2)
+    k, n = len(pii.LABELS), 300
+    labels = rng.integers(0, k, n).tolist()
+    for i in range(1, n, 3):
+        labels[i] = labels[i - 1]
+    features = [(f"a{rng.integers(0, 4)}", f"b{(labels[i] + rng.integers(0, 2)) % k}") for i in range(n)]
+    chain, skip = [(i, i + 1) for i in range(0, n - 1, 3)], [(i, i + 7) for i in range(0, n - 7, 5)]
+    model = pii.fit(labels, features, chain, skip, steps=6000)
+
+    def loss(side, bias):
+        out = pii.PENALTY / 2 * (side**2).sum()
+        for i in range(n):
+            z = bias + sum(model.unary[f] for f in features[i])
+            for a, b in chain:
+                z = z + (side[labels[a]] if b == i else 0) + (side[:, labels[b]] if a == i else 0)
+            for a, b in skip:
+                if i in (a, b):
+                    z = z + weight * np.eye(k)[labels[b if a == i else a]]
+            out += np.log(np.exp(z).sum()) - z[labels[i]]
+        return out
+
+    weight = model.skip[0, 0]
+    at = loss(model.chain, model.bias)
+    for i, j in ((0, 0), (1, 1), (2, 3)):
+        step = np.zeros((k, k))
+        step[i, j] = 0.05
+        assert loss(model.chain + step, model.bias) > at and loss(model.chain - step, model.bias) > at
+    assert loss(model.chain, model.bias + 0.05 * np.eye(k)[1]) > at and loss(model.chain, model.bias - 0.05 * np.eye(k)[1]) > at
+
+
+def test_sample_is_a_row_an_id(make_docs):
+    """A hot id is read once, and rows of it do not change the weights."""
+    data = sample(20)
+    hot = [(3, "zz +1 (743) 555-3824")] * 50
+    a, b = pii.train(make_docs(data)), pii.train(make_docs(data + hot))
+    assert a.unary.keys() == b.unary.keys()
+
+
 def test_messages_equal_exact_marginals_on_a_tree():
     """On a chain without loops message passing is exact."""
     import itertools
