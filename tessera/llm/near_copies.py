@@ -15,10 +15,14 @@ by hash, whatever the corpus. It decides the work only, never the result.
 
 Of nodes that meet, pairs of one component need no further look; others are candidates
 if their sizes and their sketches allow 0.8, bounds that never drop a pair of
-that similarity. Where more than ``CROWD`` nodes meet, a node first offers the candidate of
-the nearest sketch in each other component, then, while they stay apart, sixteen
+that similarity. Near copies share most of their shingles, so a first round over one of ``FIRST``
+shingles connects most of them, before a pair is offered once for each shingle it shares; the
+rounds after it are over all shingles and the nodes that are still apart. Where more than
+``CROWD`` nodes meet, a node first offers the one candidate of the nearest sketch, whatever the number of
+other components, then, while they stay apart, sixteen
 times as many in each round, until none is held back. So no link that could connect two
-components is left out, and a group whose members are one component costs its size alone.
+components is left out, and a first offer follows the group's size, not its square; pairs near the bound
+that stay apart are all offered in the end.
 What stays apart inside a crowd is compared by sketches in one task: the number
 of those nodes times the crowd's.
 
@@ -45,6 +49,8 @@ SHINGLE = 5
 BITS = 3
 SLOTS = 1 << 18
 CROWD = 16
+#: The first round is over one of so many shingles, those after it over all.
+FIRST = 16
 ASKED_BITS = 24
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 18
@@ -230,8 +236,8 @@ def meet(batches):
 def candidates(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[bytes], most: int) -> tuple[list, list, bool]:
     """Of the nodes of one shingle the pairs of unlike components that may have similarity 0.8.
 
-    Each node offers at most ``most`` nodes of each component that is larger here than its own, or
-    follows it, those of the nearest sketches; the last value tells whether it holds back others.
+    Each node offers at most ``most`` nodes of all components that are larger here than its own, or
+    follow it, those of the nearest sketches; the last value tells whether it holds back others.
     """
     _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
     rank = np.empty_like(size)
@@ -254,9 +260,9 @@ def candidates(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[
             x, y = np.nonzero(fine)
             if not len(x):
                 continue
-            order = np.lexsort((sig[at[y]], difference[x, y], comp[at[y]], x))
+            order = np.lexsort((sig[at[y]], difference[x, y], x))
             x, y = x[order], y[order]
-            group = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (comp[at[y]][1:] != comp[at[y]][:-1])]))
+            group = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
             place = np.arange(len(x)) - np.repeat(group, np.diff(np.append(group, len(x))))
             keep = place < most
             more |= not keep.all()
@@ -403,15 +409,19 @@ def links(docs: DataFrame, marked: DataFrame, level: np.ndarray, id_col: str, te
     edges = settled(docs, nodes, simhash_pairs(nodes), id_col, text_col)
     rows = prefixes(docs, level, id_col, text_col).repartition(width, "key").mapInArrow(meet, "key long, sig long, n long")
     met = shared_checkpoint(rows)
-    most = 1
+    most, first = 1, True
     while True:
         stars = connected_components(edges)
-        placed = met.join(stars, met["sig"] == stars["node"], "left").select("key", "sig", "n", F.coalesce("component", "sig").alias("comp"))
+        asked = met.where(F.pmod("key", F.lit(FIRST)) == 0) if first else met
+        placed = asked.join(stars, asked["sig"] == stars["node"], "left").select("key", "sig", "n", F.coalesce("component", "sig").alias("comp"))
         apart = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
         placed = placed.join(apart, "key", "left_semi").join(nodes.select(F.col("fp").alias("sig"), "sketch"), "sig")
         found = shared_checkpoint(placed.select("key", "sig", "n", "comp", "sketch").repartition(width, "key").mapInArrow(_offer(most), "u long, v long, key long"))
         stars = stars.select(F.col("node").alias("u"), F.col("component").alias("v"))
         edges = stars.unionByName(settled(docs, nodes, found.where("key IS NULL"), id_col, text_col))
+        if first:
+            first = False
+            continue
         back = found.where("key IS NOT NULL").select("key")
         if back.isEmpty():
             return edges

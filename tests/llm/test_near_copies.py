@@ -130,3 +130,30 @@ def test_candidates_are_all_offered_in_the_end():
             k = len(np.intersect1d(sets[i], sets[j]))
             if 5 * k >= 4 * (n[i] + n[j] - k) and comp[i] != comp[j]:
                 assert (j, i) in found
+
+
+def test_offers_follow_the_size_of_a_group(spark, make_docs, monkeypatch):
+    """Near copies that are all apart: one offer a node and round, not one a pair, and each pair of few shingles; all are found."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[2:], rng.integers(0, 2**63, 2, dtype=np.uint64)])) for _ in range(90)]
+    n, sig = np.array([len(s) for s in sets]), np.arange(90)
+    us, _, more = near_copies.candidates(sig, n, sig, [near_copies.sketch(s) for s in sets], 1)
+    assert more and sum(map(len, us)) < 90
+    offered = []
+    checkpoint = near_copies.shared_checkpoint
+
+    def counted(df):
+        out = checkpoint(df)
+        if df.columns == ["u", "v", "key"]:
+            offered.append(out.where("key IS NULL").count())
+        return out
+
+    monkeypatch.setattr(near_copies, "shared_checkpoint", counted)
+    monkeypatch.setattr(near_copies, "simhash_pairs", lambda nodes: nodes.select(F.col("fp").alias("u"), F.col("fp").alias("v")))
+    r = random.Random(6)
+    t = [f"c{k}" for k in range(400)]
+    rows = [(k, edited(r, t, 2)) for k in range(90)]
+    kept = corpus_pipeline.drop_near_copies(spark, make_docs(rows), "")
+    assert [x["doc_id"] for x in kept.collect()] == [0] and plain_kept(rows) == ["0"]
+    assert sum(offered) < 10 * len(rows)
