@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import stored
 
 MAX_DEPTH = 15
 
@@ -17,16 +17,17 @@ def closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(ancestor, descendant, depth): pairs joined by a path of at most ``max_depth`` edges, with the shortest.
 
     Paths are doubled, so four joins reach depth 15; pairs are made distinct in
-    each round, which also ends cycles.
+    each round, which also ends cycles. A shortest path that is longer than ``reach`` begins
+    with one of exactly that length, so only the newest pairs are carried on.
     """
     pairs = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct().withColumn("depth", F.lit(1))
     reach = 1
     while reach < max_depth:
-        left = pairs.select("ancestor", F.col("descendant").alias("mid"), F.col("depth").alias("d1"))
-        right = pairs.select(F.col("ancestor").alias("mid"), "descendant", F.col("depth").alias("d2"))
-        longer = left.join(right, "mid").select("ancestor", "descendant", (F.col("d1") + F.col("d2")).alias("depth")).where(F.col("depth") <= max_depth)
+        left = pairs.where(F.col("depth") == reach).select("ancestor", F.col("descendant").alias("mid"))
+        right = pairs.select(F.col("ancestor").alias("mid"), "descendant", (F.col("depth") + reach).alias("depth"))
+        longer = left.join(right.where(F.col("depth") <= max_depth), "mid").select("ancestor", "descendant", "depth")
         # Each round uses the pairs three times: without a cut the plan would triple.
-        pairs = cut(pairs.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")))
+        pairs = stored(pairs.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")))
         reach *= 2
     return pairs
 
@@ -47,44 +48,50 @@ def loops(pairs: DataFrame) -> DataFrame:
     return pairs.where("ancestor = descendant").select(F.col("ancestor").alias("rel")).distinct()
 
 
-def sets(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, tiles) of (key, tile). A set has at most as many members as there are tiles."""
-    return pairs.groupBy(key).agg(F.collect_set("tile").alias("tiles"))
+def words(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, word, mask): each tile of (key, tile) as a bit of 64; tile = 64 * word + bit, for any number."""
+    return pairs.select(key, F.shiftright("tile", 6).cast("long").alias("word"), F.expr("shiftleft(1L, cast(tile & 63 AS int))").alias("mask"))
 
 
 def merged(key: str, *parts: DataFrame) -> DataFrame:
-    """(key, tile) of several (key, tiles): a row a set is shuffled, not a row a tile."""
-    union = reduce(DataFrame.unionByName, [p.select(key, "tiles") for p in parts])
-    return union.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("tiles"))).alias("tiles")).select(key, F.explode("tiles").alias("tile"))
+    """(key, word, mask) of several: sets of tiles are joined word by word, in rows of fixed width."""
+    union = reduce(DataFrame.unionByName, [p.select(key, "word", "mask") for p in parts])
+    return union.groupBy(key, "word").agg(F.bit_or("mask").alias("mask"))
 
 
-def with_descendants(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(rel, tile): each relation's tiles and those of its descendants."""
-    own = sets(tiles, "rel")
-    below = pairs.select(F.col("ancestor").alias("parent"), F.col("descendant").alias("rel")).join(own, "rel").select(F.col("parent").alias("rel"), "tiles")
-    return merged("rel", own, below)
+def spread(sets: DataFrame, key: str) -> DataFrame:
+    """(key, tile) of (key, word, mask)."""
+    bits = sets.select(key, "word", "mask", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    return bits.where("(shiftright(mask, bit) & 1) = 1").select(key, (F.col("word") * 64 + F.col("bit")).alias("tile"))
 
 
-def by_way(tiles: DataFrame, way_members: DataFrame, known: DataFrame) -> DataFrame:
-    """(way, tiles) that each relation hands to its known ways."""
-    return way_members.join(known.select("way"), "way", "left_semi").join(sets(tiles, "rel"), "rel").select("way", "tiles")
+def sets(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, word, mask) of (key, tile)."""
+    return merged(key, words(pairs, key))
 
 
-def to_ways(tiles: DataFrame, way_members: DataFrame, known: DataFrame) -> DataFrame:
-    """(way, tile) that relations hand to their known ways."""
-    return merged("way", by_way(tiles, way_members, known))
+def with_below(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Sets of relations, each joined with those of its descendants."""
+    below = pairs.select(F.col("ancestor").alias("parent"), F.col("descendant").alias("rel")).join(own, "rel")
+    return merged("rel", own, below.select(F.col("parent").alias("rel"), "word", "mask"))
 
 
-def by_node(tiles: DataFrame, node_members: DataFrame, tiles_of_ways: DataFrame, refs: DataFrame, known: DataFrame) -> DataFrame:
-    """(node, tiles) that each relation and way hands to its known nodes; unknown ones go before their tiles are joined."""
-    by_rel = node_members.join(known.select("node"), "node", "left_semi").join(sets(tiles, "rel"), "rel").select("node", "tiles")
-    through = refs.select("way", "node").join(known.select("node"), "node", "left_semi").join(sets(tiles_of_ways, "way"), "way").select("node", "tiles")
-    return by_rel.unionByName(through)
+def with_descendants(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rel, tile): each relation's tiles and those of its descendants."""
+    return spread(with_below(sets(tiles, "rel"), pairs), "rel")
+
+
+def to_ways(tiles: DataFrame, way_members: DataFrame, known: DataFrame) -> DataFrame:
+    """(way, tile) that relations hand to their known ways."""
+    handed = way_members.join(known.select("way"), "way", "left_semi").join(sets(tiles, "rel"), "rel")
+    return spread(merged("way", handed), "way")
 
 
 def to_nodes(tiles: DataFrame, node_members: DataFrame, tiles_of_ways: DataFrame, refs: DataFrame, known: DataFrame) -> DataFrame:
-    """(node, tile) that relations and ways hand to their known nodes."""
-    return merged("node", by_node(tiles, node_members, tiles_of_ways, refs, known))
+    """(node, tile) that relations and ways hand to their known nodes; unknown ones go before their tiles are joined."""
+    by_rel = node_members.join(known.select("node"), "node", "left_semi").join(sets(tiles, "rel"), "rel")
+    through = refs.select("way", "node").join(known.select("node"), "node", "left_semi").join(sets(tiles_of_ways, "way"), "way")
+    return spread(merged("node", by_rel, through), "node")
 
 
 def incomplete(way_members: DataFrame, node_members: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:

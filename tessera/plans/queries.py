@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, geometry, tags, units
 from ..operators import assign, density, distribute, multitile, polygons, problems, solver
-from ..operators.lineage import cut
+from ..operators.lineage import stored
 from ..shipping import ship
 from ..streaming import events
 from ..sources import model, texts
@@ -521,7 +521,7 @@ def relation_rings(g: Graph) -> DataFrame:
 
 def _elements(g: Graph) -> distribute.Elements:
     """The derived nodes are an aggregation; it is done once."""
-    g.nodes = cut(g.nodes)
+    g.nodes = stored(g.nodes)
     return distribute.Elements(g.points, g.refs, g.way_members, g.node_members, g.edges, _wanted(g))
 
 
