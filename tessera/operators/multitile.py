@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,40 +111,56 @@ def _chain(ends: list[tuple[int, int, int]]) -> list[int]:
     The first open chain takes the last remaining way that fits either of its
     ends, again and again, until it closes or nothing fits.
     """
-    free = list(range(len(ends)))
+    fits: dict[int, list[int]] = defaultdict(list)
+    for k, (_, a, b) in enumerate(ends):
+        for end in {a, b}:
+            fits[end].append(k)
     of = [-1] * len(ends)
+
+    def last_free(end: int) -> int:
+        ways = fits[end]
+        while ways and of[ways[-1]] >= 0:
+            ways.pop()
+        return ways[-1] if ways else -1
+
     n = 0
-    while free:
-        at = free.pop(0)
-        head, tail = ends[at][1], ends[at][2]
+    for at, (_, head, tail) in enumerate(ends):
+        if of[at] >= 0:
+            continue
         of[at] = n
         while head != tail:
-            for k in range(len(free) - 1, -1, -1):
-                _, a, b = ends[free[k]]
-                if a == tail or b == tail:
-                    tail = b if a == tail else a
-                elif a == head or b == head:
-                    head = b if a == head else a
-                else:
-                    continue
-                of[free.pop(k)] = n
+            k = max(last_free(tail), last_free(head))
+            if k < 0:
                 break
+            of[k] = n
+            _, a, b = ends[k]
+            if a == tail or b == tail:
+                tail = b if a == tail else a
             else:
-                break
+                head = b if a == head else a
         n += 1
     return of
 
 
 def rings(members: DataFrame) -> DataFrame:
-    """(rel, chain, way) from (rel, pos, way, role, first, last): outer ways joined to chains, relation by relation."""
+    """(rel, chain, way) from (rel, pos, way, role, first, last): outer ways joined to chains, relation by relation.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        chain = _chain(list(zip(pdf["way"], pdf["first"], pdf["last"])))
-        return pd.DataFrame({"rel": pdf["rel"], "chain": chain, "way": pdf["way"]})
+    A relation is one row of lists, so Python is called for batches of relations, not for each.
+    """
 
-    outer = members.where("role <> 'inner'").select("rel", "pos", "way", "first", "last")
-    return outer.groupBy("rel").applyInPandas(one, "rel long, chain int, way long")
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(c) for c in ("way", "first", "last")]
+            sizes = lists[0].value_lengths().to_pylist()
+            way, *ends = (x.flatten() for x in lists)
+            rows = list(zip(way.to_pylist(), *(x.to_pylist() for x in ends)))
+            stops = list(accumulate(sizes))
+            chain = [c for n, stop in zip(sizes, stops) for c in _chain(rows[stop - n : stop])]
+            rel = np.repeat(batch.column("rel").to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(rel), pa.array(chain, pa.int32()), way], ["rel", "chain", "way"])
+
+    outer = members.where("role <> 'inner'").groupBy("rel").agg(F.sort_array(F.collect_list(F.struct("pos", "way", "first", "last"))).alias("m"))
+    return outer.select("rel", "m.way", "m.first", "m.last").mapInArrow(many, "rel long, chain int, way long")
 
 
 def ring_boxes(chains: DataFrame, boxes_of_ways: DataFrame) -> DataFrame:
@@ -149,8 +169,3 @@ def ring_boxes(chains: DataFrame, boxes_of_ways: DataFrame) -> DataFrame:
     return placed.groupBy("rel", "chain").agg(
         F.min("min_lat").alias("min_lat"), F.min("min_lon").alias("min_lon"), F.max("max_lat").alias("max_lat"), F.max("max_lon").alias("max_lon"),
     )
-
-
-def replaced(tiles: DataFrame, by: DataFrame) -> DataFrame:
-    """(rel, tile): relations in ``by`` have exactly its tiles, others keep theirs."""
-    return tiles.join(by.select("rel").distinct(), "rel", "left_anti").unionByName(by.select("rel", "tile"))

@@ -10,10 +10,12 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TILE_LAT, TILE_LON, TILES = 20480, 40960, 8
 PARENT_ID = 10_000_000
+PART_BYTES = 8 << 20
 
 
 @dataclass
@@ -29,7 +31,10 @@ class Graph:
         """(id, mlat, mlon, way, pos). The pair (order, line number) repeats in the data, hence the grouping."""
         line = F.col("l_linenumber").cast("long")
         part, supp = F.min("l_partkey"), F.min("l_suppkey")
-        return self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        items = self.table("lineitem")
+        # Dealt by order alone, so that the joins with orders need no further shuffle; a task's share does not grow with the table.
+        n = max(self.spark.sparkContext.defaultParallelism, items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() // PART_BYTES)
+        return items.repartition(n, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
             ((F.col("l_orderkey") * 7919) % 160000 + (part * 37) % 3000).alias("mlat"),
             ((F.col("l_orderkey") * 104729) % 320000 + (supp * 53 + line * 211) % 3000).alias("mlon"),
         ).select((F.col("l_orderkey") * 8 + line).alias("id"), "mlat", "mlon", F.col("l_orderkey").alias("way"), line.alias("pos"))
@@ -46,9 +51,11 @@ class Graph:
     @property
     def ring_refs(self) -> DataFrame:
         """As ``refs``, but every fifth way with three nodes or more ends where it began."""
-        first = self.refs.where("way % 5 = 0").groupBy("way").agg(F.min_by("node", "pos").alias("node"), F.count("*").alias("n"))
-        closing = first.where("n >= 3").select("way", F.lit(99).cast("long").alias("pos"), "node")
-        return self.refs.unionByName(closing)
+        way = W.partitionBy("way").orderBy("pos")
+        seen = self.refs.withColumns({"i": F.row_number().over(way), "n": F.count("*").over(way.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+        own, closing = F.struct("pos", "node"), F.struct(F.lit(99).cast("long").alias("pos"), "node")
+        both = F.when(F.expr("i = 1 AND n >= 3 AND way % 5 = 0"), F.array(own, closing)).otherwise(F.array(own))
+        return seen.select("way", F.explode(both).alias("ref")).select("way", "ref.*")
 
     @property
     def ways(self) -> DataFrame:
