@@ -318,9 +318,7 @@ def box_tiles(g: Graph) -> DataFrame:
 
 @query
 def closed_way_tiles(g: Graph) -> DataFrame:
-    closed = way_closed(g).where("closed").select("way")
-    placed = assign.located(g.ring_refs, g.points).join(closed, "way", "left_semi")
-    return assign.box_tiles(assign.way_boxes(placed), g.tiles, "way")
+    return assign.box_tiles(assign.closed_boxes(g.ring_refs, g.points), g.tiles, "way")
 
 
 @query
